@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from vecspark.llm import quality
+from vecspark.llm import html_extract, quality, url_filter
 
 
 def queries() -> dict:
-    return {"op10_quality": quality.op10_quality}
+    return {
+        "op4_url_filter": url_filter.op4_url_filter,
+        "op7_html_extract": html_extract.op7_html_extract,
+        "op10_quality": quality.op10_quality,
+    }
 
 
 def oracle_sql() -> dict:
-    return dict(quality.SQL)
+    return url_filter.SQL | quality.SQL
