@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from vecspark.llm import html_extract, quality, url_filter
+from vecspark.llm import html_extract, license_scan, quality, simhash, url_filter
 
 
 def queries() -> dict:
     return {
+        "op3_simhash": simhash.op3_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
         "op7_html_extract": html_extract.op7_html_extract,
+        "op8_license_scan": license_scan.op8_license_scan,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict:
-    return url_filter.SQL | quality.SQL
+    return url_filter.SQL | license_scan.SQL | quality.SQL
