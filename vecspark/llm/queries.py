@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecspark.llm import html_extract, license_scan, quality, simhash, url_filter
+from vecspark.llm import decontaminate, html_extract, license_scan, quality, simhash, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_url_filter": url_filter.op4_url_filter,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_quality": quality.op10_quality,
     }
 
