@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, html_extract, license_scan, quality, sentencepiece_codec, simhash, url_filter
+from vecspark.llm import decontaminate, html_extract, license_scan, quality, sentencepiece_codec, simhash, token_output, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_token_output": token_output.op1_token_output,
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_simhash": simhash.op3_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
