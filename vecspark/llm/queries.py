@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, html_extract, license_scan, quality, sentencepiece_codec, simhash, token_output, url_filter
+from vecspark.llm import decontaminate, html_extract, license_scan, quality, sentencepiece_codec, simhash, substring, token_output, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_simhash": simhash.op3_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_substring": substring.op5_substring,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return url_filter.SQL | license_scan.SQL | quality.SQL
+    return url_filter.SQL | substring.SQL | license_scan.SQL | quality.SQL
