@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, html_extract, license_scan, quality, sentencepiece_codec, simhash, substring, token_output, url_filter
+from vecspark.llm import decontaminate, html_extract, license_scan, quality, sentencepiece_codec, simhash, substring, token_output, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_substring": substring.op5_substring,
+        "op6_warc_revisits": warc.op6_warc_revisits,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return url_filter.SQL | substring.SQL | license_scan.SQL | quality.SQL
+    return url_filter.SQL | substring.SQL | warc.SQL | license_scan.SQL | quality.SQL
