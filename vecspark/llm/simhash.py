@@ -178,8 +178,8 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOC
     return halves(small).union(halves(pairs))
 
 
-def simhash(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least id reachable by links, for every row."""
+def _classes(docs: DataFrame, shingle: int, radius: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Stored fingerprints (doc_id, fp) of all rows, and the component (_fp, component_id) of each distinct one."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     # a class whose ids are all null has no name: it links under a negative one that no document gets
@@ -192,9 +192,25 @@ def simhash(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block
         named = named.join(least, "root", "left").select("fp", F.col("least").alias("component_id"))
     else:
         named = named.select("fp", F.col("root").alias("component_id"))
-    named = named.withColumnRenamed("fp", "_fp")
+    return fps, named.withColumnRenamed("fp", "_fp")
+
+
+def simhash(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the least id reachable by links, for every row."""
+    fps, named = _classes(docs, shingle, radius, blocks)
     return fps.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component, with all their columns: one document of each group.
+
+    Only the ids of the others travel, to an anti-join by doc_id. Rows of one doc_id stay or go together; rows with a
+    null id can't be told apart and stay.
+    """
+    fps, named = _classes(docs, shingle, radius, blocks)
+    copies = fps.join(named, F.col("fp") == F.col("_fp")).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(stored(copies, "copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -251,7 +251,8 @@ def remove(text: bytes, windows: list[int]) -> bytes:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, repeated passages taken out of their texts; n_chars follows, and texts of which nothing is left go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = docs.columns
+    others = [c for c in names if c not in ("doc_id", "text")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -263,10 +264,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 texts.append(remove(text, windows) if windows else text)
                 keep.append(bool(texts[-1]) or not windows)
             new = pa.array([t.decode() for t in texts], pa.string())
-            columns = {c: batch.column(c) for c in docs.columns} | {"text": new}
+            columns = {c: batch.column(c) for c in names} | {"text": new}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) for t in new.to_pylist()], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep))
 
     return _with_windows(docs, others, run, docs.schema)
 
