@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from vecspark.llm import decontaminate, html_extract, license_scan, quality, sentencepiece_codec, simhash, substring, token_output, url_filter, warc
 
 
@@ -17,8 +18,10 @@ def queries() -> dict:
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return url_filter.SQL | substring.SQL | warc.SQL | license_scan.SQL | quality.SQL
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | url_filter.SQL | substring.SQL | warc.SQL | license_scan.SQL | quality.SQL
