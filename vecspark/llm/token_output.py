@@ -28,7 +28,7 @@ from vecspark.llm.common import new_path, parts_for, ship, sliced
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-MEMO = 300_000
+MEMO = 400_000
 #: Longer words aren't remembered.
 MEMO_CHARS = 64
 #: ORC's options: stripes of 16 MB, an index entry each 1,000 rows, a Bloom filter on the document's id.
@@ -61,6 +61,7 @@ class Words(dict):
 
     def __init__(self, tokenizer, space: str = " "):
         self.tokenizer, self.model, self.space = tokenizer, tokenizer.model, space
+        self.letters = space.translate(LETTERS)
         self.bare = Words(tokenizer, "") if space else self
         self.line_end = self.encode("\n")
 
@@ -69,7 +70,8 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
-            ids = array("i", [k.id for k in self.model.tokenize((self.space + word).encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            letters = self.letters + word if word.isascii() else (self.space + word).encode().decode("latin-1").translate(LETTERS)
+            ids = array("i", [k.id for k in self.model.tokenize(letters)]).tobytes()
         else:
             if not word or word[0].isspace() or word[-1].isspace():
                 raise Crossing
@@ -79,8 +81,12 @@ class Words(dict):
                     return self[first] + b"".join([self.line_end + self.bare[x] for x in rest])
             letters = word.rstrip(MARKS)
             if letters.isalpha():
-                return self[letters] + self.bare[word[len(letters) :]]
-            ids = self.encode(self.space + word)
+                again = letters in self
+                ids = self[letters] + self.bare[word[len(letters) :]]
+                if not again:  # a rare word: its letters are remembered, not each of its marks
+                    return ids
+            else:
+                ids = self.encode(self.space + word)
         if len(self) < MEMO and len(word) <= MEMO_CHARS:
             self[word] = ids
         return ids
