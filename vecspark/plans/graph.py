@@ -191,34 +191,38 @@ def build(base: DataFrame, kind: str = "hnsw", m: int = 32, ef: int = 40, k: int
 def search(queries: DataFrame, base: DataFrame, edges: DataFrame, k: int, ef: int = 16, radius: float | None = None, shards: int | None = None) -> DataFrame:
     """query_id, rank, id, dist by walks over the shards' graphs; with a radius, those found within it."""
     out = None
-    spark = base.sparkSession
     for block in query_blocks(queries):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(key, rows, links, shared=shared):
-            import pyarrow as pa
-
-            qids, q = shared.value
-            ids = rows.column("id").to_numpy()
-            order = np.argsort(ids)
-            ids = ids[order]
-            best = Best(len(qids), k if radius is None else max(k, len(ids)), False)
-            if len(ids) and links.num_rows:
-                x = matrix(rows.column("vec").combine_chunks())[order]
-                level, a, b = links.column("level").to_numpy(), np.searchsorted(ids, links.column("src").to_numpy()), np.searchsorted(ids, links.column("dst").to_numpy())
-                layers: dict[int, dict[int, list[int]]] = {}
-                for lv, i, j in zip(level.tolist(), a.tolist(), b.tolist(), strict=True):
-                    layers.setdefault(lv, {}).setdefault(i, []).append(j)
-                start = next(iter(layers.get(-1, {0: []})))
-                for n in range(len(qids)):
-                    at = [start]
-                    for lv in sorted((v for v in layers if v > 0), reverse=True):
-                        at = [walk(x, lambda i, lv=lv: layers[lv].get(i, []), q[n], at, 1)[0][1]]
-                    found = walk(x, lambda i: layers.get(0, {}).get(i, []), q[n], at, max(ef, k))
-                    found = [(d, i) for d, i in found if radius is None or d < radius]
-                    best.add_rows(np.full(len(found), n), np.array([d for d, _ in found]), ids[[i for _, i in found]] if found else np.zeros(0, np.int64))
-            return pa.Table.from_batches([best.batch(qids)])
-
+        run = _searched(base.sparkSession.sparkContext.broadcast(block), k, ef, radius)
         parts = sharded(base, shards).groupBy("shard").cogroup(edges.groupBy("shard")).applyInArrow(run, FOUND)
         out = parts if out is None else out.unionByName(parts)
     return ranked(out, k if radius is None else 1 << 30)
+
+
+def _searched(shared, k: int, ef: int, radius: float | None):
+    """(key, rows, links) of a shard -> the best it has for each query of a broadcast block."""
+
+    def run(key, rows, links):
+        import pyarrow as pa
+
+        qids, q = shared.value
+        ids = rows.column("id").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        best = Best(len(qids), k if radius is None else max(k, len(ids)), False)
+        if len(ids) and links.num_rows:
+            x = matrix(rows.column("vec").combine_chunks())[order]
+            level, a, b = links.column("level").to_numpy(), np.searchsorted(ids, links.column("src").to_numpy()), np.searchsorted(ids, links.column("dst").to_numpy())
+            layers: dict[int, dict[int, list[int]]] = {}
+            for lv, i, j in zip(level.tolist(), a.tolist(), b.tolist(), strict=True):
+                layers.setdefault(lv, {}).setdefault(i, []).append(j)
+            start = next(iter(layers.get(-1, {0: []})))
+            for n in range(len(qids)):
+                at = [start]
+                for lv in sorted((v for v in layers if v > 0), reverse=True):
+                    at = [walk(x, lambda i, lv=lv: layers[lv].get(i, []), q[n], at, 1)[0][1]]
+                found = walk(x, lambda i: layers.get(0, {}).get(i, []), q[n], at, max(ef, k))
+                found = [(d, i) for d, i in found if radius is None or d < radius]
+                best.add_rows(np.full(len(found), n), np.array([d for d, _ in found]), ids[[i for _, i in found]] if found else np.zeros(0, np.int64))
+        return pa.Table.from_batches([best.batch(qids)])
+
+    return run
