@@ -104,7 +104,7 @@ def query_blocks(queries: DataFrame, columns: tuple[str, ...] = ("vec",)) -> Ite
     for b in range(n):
         block = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else rows
         got = sorted(block.collect(), key=lambda r: r[0])
-        yield (np.array([r[0] for r in got], np.int64), *[np.array([r[c] for r in got], np.float64).reshape(len(got), -1) for c in columns])
+        yield (np.array([r[0] for r in got], np.int64), *[np.array([r[c] for r in got], np.float64).reshape(len(got), -1) if got else np.zeros((0, 1)) for c in columns])
 
 
 def blockwise(base: DataFrame, blocks, task: Callable, schema: str) -> DataFrame:
@@ -233,7 +233,7 @@ def word_blocks(queries: DataFrame) -> Iterator[tuple]:
     for b in range(n):
         block = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else rows
         got = sorted(block.collect(), key=lambda r: r[0])
-        yield np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64).reshape(len(got), -1).view(np.uint64)
+        yield np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got] or [[0]], np.int64).reshape(max(1, len(got)), -1).view(np.uint64)[: len(got)]
 
 
 def hamming_matrix(q: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -58,6 +58,8 @@ class VectorIndex:
         return self.train_array(rows_of(sample(df, max(TRAIN_ROWS, MAX_POINTS * self.nlist), self.seed)))
 
     def train_array(self, x: np.ndarray) -> VectorIndex:
+        if self.refine is not None:
+            self.refine.train(x)
         for t in self.chain:
             x = t.train(x).apply(x)
         if self.nlist:
@@ -71,8 +73,6 @@ class VectorIndex:
             if self.residual:
                 x = x - self.centroids[nearest(x, self.centroids, self._coarse_metric)[0]]
         self.codec.train(x)
-        if self.refine is not None:
-            self.refine.train(x)
         return self
 
     @property
@@ -242,23 +242,21 @@ class VectorIndex:
         return S.padded(out, queries, k, similar) if pad else out
 
     def rescored(self, queries: DataFrame, found: DataFrame) -> DataFrame:
-        """Found rows with their distances by the refining codec's vectors: one equi-join by id."""
+        """Found rows with their distances by the refining codec's vectors, without transforms: one equi-join by id."""
         raw = self.refined.select(F.col("id").alias("_i"), "vec")
         got = found.select("query_id", "id", "list_no").join(raw, F.col("id") == F.col("_i")).drop("_i")
         q = queries.select(F.col("query_id").alias("_q"), F.transform("vec", lambda x: x.cast("double")).alias("_qv"))
         both = got.join(q, F.col("query_id") == F.col("_q"))
-        shared = found.sparkSession.sparkContext.broadcast((self.refine, self.metric, self.chain, self.centroids if self.residual else None))
+        shared = found.sparkSession.sparkContext.broadcast((self.refine, self.metric))
 
         def run(batches):
             import pyarrow as pa
 
-            refine, metric, chain, centroids = shared.value
+            refine, metric = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, y = chained(matrix(batch.column("vec")), chain), chained(matrix(batch.column("_qv")), chain)
-                base = 0 if centroids is None else centroids[batch.column("list_no").to_numpy()]
-                x = base + refine.decode(refine.encode(x - base))
+                x, y = refine.decode(refine.encode(matrix(batch.column("vec")))), matrix(batch.column("_qv"))
                 d = np.array([distances(metric, y[i : i + 1], x[i : i + 1])[0, 0] for i in range(len(x))])
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), batch.column("list_no"), pa.array(d)], ["query_id", "id", "list_no", "dist"])
 

@@ -25,7 +25,7 @@ def sample(df: DataFrame, n: int, seed: int = 1234) -> DataFrame:
 def rows_of(df: DataFrame) -> np.ndarray:
     """A bounded table's vectors, by id."""
     got = df.select("id", "vec").where("vec IS NOT NULL").collect()
-    return np.array([r[1] for r in sorted(got, key=lambda r: r[0])], np.float64).reshape(len(got), -1)
+    return np.array([r[1] for r in sorted(got, key=lambda r: r[0])], np.float64).reshape(len(got), -1) if got else np.zeros((0, 1))
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, metric: Metric = Metric.L2) -> tuple[np.ndarray, np.ndarray]:
