@@ -5,11 +5,15 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspark.sources.shared import new_path, shared_dir, stored
+
+__all__ = ["SPACE", "free", "input_bytes", "new_path", "parts_for", "shared_dir", "ship", "sliced", "stored", "text_bytes"]
 
 #: Bytes of input for each partition of a shuffle that carries whole texts.
 PART_BYTES = 8 << 20
@@ -18,30 +22,15 @@ PART_BYTES = 8 << 20
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where unset (tests), a new local one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecspark-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: its lineage ends there, and any executor can be lost afterwards."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the plan: for files, their bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files that a plan reads. Where it reads anything else, whose size Spark doesn't know, its texts are measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if all(x < 1 << 60 for x in sizes):
+        return sum(sizes)
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    row = df.agg(F.count("*"), *[F.sum(F.octet_length(c)) for c in texts]).first()
+    return 8 * row[0] + sum(x or 0 for x in row[1:])
 
 
 def parts_for(df: DataFrame, each: int = PART_BYTES) -> int:
@@ -69,6 +58,14 @@ def ship(spark: SparkSession) -> None:
     sc._vecspark_shipped = True
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null as empty."""
     import pyarrow as pa

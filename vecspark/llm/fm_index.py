@@ -60,12 +60,12 @@ class FMIndex:
         rank, depth = text.copy(), 1
         while depth < DEPTH:
             key = rank * (rank.max() + 1)
-            key[: n - depth] += rank[depth:]
-            order = np.argsort(key, kind="stable")
+            key[: max(0, n - depth)] += rank[depth:]
+            order = np.argsort(key)
             step = np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)])
             rank[order] = np.cumsum(step)
             depth *= 2
-        self.suffix = np.argsort(rank, kind="stable")
+        self.suffix = np.argsort(rank)
         self.owner = np.repeat(np.arange(len(sequences)), sizes)[self.suffix]
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.bwt = WaveletMatrix(text[self.suffix - 1], top)
@@ -76,6 +76,15 @@ class FMIndex:
         first = self.counts[symbol]
         return first + self.bwt.rank(symbol, low), first + self.bwt.rank(symbol, high)
 
+    def search(self, pattern: np.ndarray) -> tuple[int, int]:
+        """The rows of one pattern, of fewer than ``DEPTH`` words."""
+        low, high = np.zeros(1, np.int64), np.array([len(self.text)])
+        for symbol in pattern[::-1]:
+            if not 0 < symbol < len(self.counts) - 1 or high[0] <= low[0]:
+                return 0, 0
+            low, high = self.extend(np.array([symbol]), low, high)
+        return int(low[0]), int(high[0])
+
     def groups(self, length: int) -> np.ndarray:
         """Where, in the sorted suffixes, runs of equal first ``length`` symbols begin; the number of rows at the end."""
         at = self.suffix
@@ -90,8 +99,8 @@ class FMIndex:
         """For each place of each pattern: the length of the longest match that starts there, up to ``length``, and its rows.
 
         Patterns are read backwards, all at once. A match of ``length`` words that grows by one in front is cut to its
-        first ``length``: its rows are then those of the run of equal first ``length`` symbols. A match that can't grow
-        starts anew from the word itself; shorter matches than ``length`` are so reported as a lower bound.
+        first ``length``: its rows are then those of the run of equal first ``length`` symbols. Where a match can't grow,
+        shorter ones are searched from there.
         """
         groups = self.groups(length)
         sizes = np.array([len(p) for p in patterns])
@@ -111,6 +120,12 @@ class FMIndex:
             fresh = (a >= b) | ~known
             a, b = np.where(fresh, self.counts[symbol], a), np.where(fresh, self.counts[symbol + 1], b)
             grown = np.where(known & (a < b), np.where(fresh, 1, size[live] + 1), 0)
+            for i in np.flatnonzero(fresh & (grown > 0) & (size[live] > 1)).tolist():
+                for n in range(min(int(size[live[i]]), length), 1, -1):
+                    x, y = self.search(table[live[i], col : col + n])
+                    if x < y:
+                        a[i], b[i], grown[i] = x, y, n
+                        break
             a, b = np.where(grown > 0, a, 0), np.where(grown > 0, b, len(self.text))
             cut = grown >= length
             if cut.any():

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import ship, sliced, stored, text_bytes
+from vecspark.llm.common import free, ship, sliced, stored, text_bytes
 from vecspark.llm.components import components
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 4, 42
@@ -208,8 +208,9 @@ def without_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     null id can't be told apart and stay.
     """
     fps, named = _classes(docs, shingle, radius, blocks)
-    copies = fps.join(named, F.col("fp") == F.col("_fp")).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(stored(copies, "copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    own = free("_copy", docs)
+    copies = fps.join(named, F.col("fp") == F.col("_fp")).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stored(copies, "copies"), F.col("doc_id") == F.col(own), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

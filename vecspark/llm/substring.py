@@ -3,18 +3,22 @@
 A window is ``WINDOW`` consecutive words of one document. A word goes if a window covers it whose words also start in
 a document of smaller doc_id; windows are judged on the input.
 
-1. Each window is known by its anchor, the least hash of the word 3-grams in it: equal windows have equal anchors. The
-   anchors of each document go to a table, and those that two documents share are found by least and greatest id.
-2. Runs of windows with one shared anchor are segments. Segments of one anchor meet in one shard; equal ones are
-   summed up before, to their words and their least doc_id.
+Documents are dealt by hash to batches of about ``BATCH_BYTES`` of input, which is the one time that texts move; all
+else that moves is summed up by batch before.
+
+1. Each window is known by its anchor, the least hash of the word 3-grams in it: equal windows have equal anchors.
+   Batches send the distinct anchors of their documents to buckets by hash; buckets send back those that two
+   documents share.
+2. Runs of windows with one shared anchor are segments. A batch sends its distinct segments, with the least and
+   greatest doc_id that have them, to the shard of their anchor.
 3. Each shard builds a compressed FM-index (``fm_index``) over its segments and streams them through it: matching
    statistics by backward search give, for each window, all places of its words, and the least doc_id of these.
-4. The least ids return to all documents' segments; windows with a smaller one than the document's are reported, and
-   their words go.
+4. The least ids return to the batches; windows with a smaller one than their document's are reported, and their
+   words go.
 
 An anchor in over ``HOT`` documents may have as many different segments, by the words around a copied passage. Its
-windows go to shards one by one, by the hash of all their words, so that no anchor's group grows with its copies:
-equal windows are one row each, different ones are dealt over all shards. Texts move once, by doc_id.
+windows go to shards one by one, by the hash of all their words. So an anchor, a passage or a line, however many
+documents have it, adds one entry a batch to any bucket and shard.
 
 Defined results: a null or empty text has no words; rows of one doc_id don't count as earlier for each other, each
 row gets a row; rows with null ids keep all words and remove none elsewhere; an empty table gives no rows; other
@@ -24,13 +28,14 @@ columns of the input are kept by ``without_repeats``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import ship, sliced, stored, text_bytes
+from vecspark.llm.common import free, input_bytes, ship, text_bytes
 from vecspark.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 13, 3
@@ -38,6 +43,14 @@ WINDOW, GRAM = 13, 3
 HOT = 2_000
 #: Windows of a segment at most, and words of an index about.
 SEGMENT, SHARD = 32, 400_000
+#: Bytes of input of a batch; bits of an anchor, and bytes.
+BATCH_BYTES, BITS, WIDTH = 1 << 20, 48, 6
+#: Buckets, and shards: one for so many bytes of input, but ``PLACES`` on smaller ones (or four a partition), as each
+#: batch sends each of them a message.
+PLACE_BYTES, PLACES = 16 << 20, 256
+#: What moves between batches, buckets and shards: where to, from or for which batch, what it is, and up to five arrays.
+MESSAGE = "dest int, batch int, kind int, a binary, b binary, c binary, d binary, e binary"
+NAMES = tuple("abcde")
 
 
 def anchors(words: list[bytes]) -> np.ndarray:
@@ -46,83 +59,150 @@ def anchors(words: list[bytes]) -> np.ndarray:
 
     n = len(words)
     if n < WINDOW:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     g = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
     g ^= g >> np.uint64(29)
     g *= np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(32)
+    g >>= np.uint64(64 - BITS)
     span = WINDOW - GRAM + 1
     least, width = g, 1
     while 2 * width <= span:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     n -= WINDOW - 1
-    return np.minimum(least[:n], least[span - width : span - width + n]).view(np.int64)
+    return np.minimum(least[:n], least[span - width : span - width + n])
 
 
-def _anchor_rows(batches: Iterator) -> Iterator:
+def short(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^48 in six bytes each."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.reshape(-1).view("<u8")
+
+
+def place(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket or shard, of n, of each anchor: its range."""
+    return ((keys >> np.uint64(BITS - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+
+
+def messages(rows: list[tuple]):
     import pyarrow as pa
 
-    for batch in sliced(batches):
-        found = [np.unique(anchors(t.split())) for t in text_bytes(batch.column("text"))]
-        ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64()), pa.array(ids, pa.int64())], ["h", "doc"])
+    columns = list(zip(*rows, strict=True)) or [()] * 8
+    types = [pa.int32()] * 3 + [pa.binary()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["dest", "batch", "kind", *NAMES])
 
 
-def segments(words: list[bytes], shared: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(anchor, or 0 for a window of a hot one; first and last window) of each segment with a shared anchor."""
-    own = anchors(words)
-    use = np.isin(own, shared)
-    if not use.any():
-        return
-    lone = use & np.isin(own, hot) if len(hot) else np.zeros(len(own), bool)
-    cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (use[1:] != use[:-1])]))
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True):
-        if not use[a]:
-            continue
-        if lone[a]:
-            yield from ((0, i, i) for i in range(a, b))
-        else:
-            yield from ((int(own[a]), i, min(b, i + SEGMENT) - 1) for i in range(a, b, SEGMENT))
+def by_place(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, rows) of ascending rows."""
+    at = place(keys, n)
+    order = np.argsort(at, kind="stable")
+    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
+    for rows in np.split(order, cut[1:]) if len(order) else []:
+        yield int(at[rows[0]]), rows
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Batch:
+    """The documents of a batch that have an id, in an order that only their contents make."""
 
+    def __init__(self, table):
+        ids, texts = table.column("doc_id").to_pylist(), text_bytes(table.column("text"))
+        self.rows = sorted((i for i, x in enumerate(ids) if x is not None), key=lambda i: (ids[i], texts[i]))
+        self.ids, self.words = [ids[i] for i in self.rows], [texts[i].split() for i in self.rows]
+        self.texts = [texts[i] for i in self.rows]
 
-def _keys(content: bytes) -> tuple[int, int]:
-    """128 bits of hash of a segment's words."""
-    import xxhash
 
-    k = xxhash.xxh3_128_intdigest(content)
-    return _signed(k >> 64), _signed(k & (1 << 64) - 1)
+def _anchors_of(buckets: int) -> Callable:
+    """Batch -> buckets: a: anchors of one document; b: anchors of more, c: of how many."""
 
+    def run(key, table):
+        batch = Batch(table)
+        found = [np.unique(anchors(w)) for w in batch.words]
+        every, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        own = key[0].as_py()
+        return messages([(dest, own, 0, short(every[lone]), short(every[more]), count[more].astype("<u4").tobytes(), None, None) for dest, rows in by_place(every, buckets) for lone, more in [(rows[count[rows] == 1], rows[count[rows] > 1])]])
 
-def _row(text: bytes) -> int:
-    """Tells rows of one doc_id apart by their text."""
-    import xxhash
+    return run
 
-    return _signed(xxhash.xxh3_64_intdigest(text))
 
+def _shared(table):
+    """Bucket -> batches: a: the batch's anchors that two documents share, b: whether each is in over ``HOT``."""
+    lone, more = [wide(x) for x in table.column("a").to_pylist()], [wide(x) for x in table.column("b").to_pylist()]
+    counts = [np.frombuffer(x, "<u4") for x in table.column("c").to_pylist()]
+    keys = np.concatenate([x for pair in zip(lone, more, strict=True) for x in pair])
+    count = np.concatenate([x for a, c in zip(lone, counts, strict=True) for x in (np.ones(len(a), np.int64), c.astype(np.int64))])
+    row = np.repeat(np.arange(len(lone)), [len(a) + len(b) for a, b in zip(lone, more, strict=True)])
+    _, group = np.unique(keys, return_inverse=True)
+    docs = np.bincount(group, count).astype(np.int64)[group] if len(keys) else count
+    use = docs > 1
+    keys, hot, row = keys[use], docs[use] > HOT, row[use]
+    ends = np.searchsorted(row, np.arange(len(lone) + 1))
+    batches = table.column("batch").to_pylist()
+    return messages([(0, batches[i], 0, short(keys[a:b]), hot[a:b].tobytes(), None, None, None) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a])
 
-def _segment_rows(contents: bool):
-    """Rows (key, content, doc) of the segments, or (k1, k2, doc, row, first)."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def segments(words: list[bytes], shared: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(anchor, or -1 for a window of a hot one; first and last window) of each segment. ``shared`` is sorted."""
+    own = anchors(words)
+    if not len(own) or not len(shared):
+        return
+    at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+    use = shared[at] == own
+    lone = use & hot[at]
+    cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    ends = np.append(cut[1:], len(own))
+    good = use[cut]
+    for a, b, key, single in zip(cut[good].tolist(), ends[good].tolist(), own[cut[good]].tolist(), lone[cut[good]].tolist(), strict=True):
+        if single:
+            yield from ((-1, i, i) for i in range(a, b))
+        else:
+            yield from ((key, i, min(b, i + SEGMENT) - 1) for i in range(a, b, SEGMENT))
+
+
+def _segments_of(shards: int) -> Callable:
+    """Batch and its shared anchors -> shards: a: anchors, b, c: least and greatest ids, d: numbers in the batch, e: words.
 
-        types = [("key", pa.int64()), ("content", pa.binary()), ("doc", pa.int64())] if contents else [(c, pa.int64()) for c in ("k1", "k2", "doc", "row", "first")]
-        schema = pa.schema(types)
-        for batch in sliced(batches, 256):
-            out: list[tuple] = []
-            rows = zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("shared").to_pylist(), batch.column("hot").to_pylist(), strict=True)
-            for doc, text, shared, hot in rows:
-                words, row = text.split(), 0 if contents else _row(text)
-                for key, a, b in segments(words, np.array(shared, np.int64), np.array(hot, np.int64)):
-                    content = b" ".join(words[a : b + WINDOW])
-                    out.append((key or _keys(content)[0], content, doc) if contents else (*_keys(content), doc, row, a))
-            columns = zip(*out, strict=True) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+    And to the batch itself, over one more place, where its segments are: a: numbers, b: documents, c: first words.
+    """
+
+    def run(key, table, replies):
+        import xxhash
+        import zstandard
+
+        own = key[0].as_py()
+        batch = Batch(table)
+        shared = np.concatenate([np.zeros(0, np.uint64), *[wide(x) for x in replies.column("a").to_pylist()]])
+        hot = np.concatenate([np.zeros(0, bool), *[np.frombuffer(x, bool) for x in replies.column("b").to_pylist()]])
+        order = np.argsort(shared)
+        shared, hot = shared[order], hot[order]
+        number: dict[bytes, int] = {}
+        keys: list[int] = []
+        low: list[int] = []
+        high: list[int] = []
+        seen: list[tuple[int, int, int]] = []
+        for i, (doc, words) in enumerate(zip(batch.ids, batch.words, strict=True)):
+            for anchor, a, b in segments(words, shared, hot):
+                content = b" ".join(words[a : b + WINDOW])
+                n = number.get(content)
+                if n is None:
+                    n = number[content] = len(keys)
+                    keys.append(anchor if anchor >= 0 else xxhash.xxh64_intdigest(content) >> 64 - BITS)
+                    low.append(doc)
+                    high.append(doc)
+                else:
+                    high[n] = doc  # documents come in ascending order
+                seen.append((n, i, a))
+        if not keys:
+            return messages([])
+        key_array, low_array, high_array = np.array(keys, np.uint64), np.array(low, "<i8"), np.array(high, "<i8")
+        contents, press = list(number), zstandard.ZstdCompressor(level=3).compress
+        out = [(dest, own, 0, short(key_array[rows]), low_array[rows].tobytes(), high_array[rows].tobytes(), rows.astype("<i4").tobytes(), press(b"\n".join([contents[r] for r in rows.tolist()]))) for dest, rows in by_place(key_array, shards)]
+        n, doc, first = (np.array(x, "<i4").tobytes() for x in zip(*seen, strict=True))
+        return messages([*out, (shards + own, own, 1, n, doc, first, None, None)])
 
     return run
 
@@ -145,49 +225,60 @@ def least_ids(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _search(batches: Iterator) -> Iterator:
-    """Of rows (key, content, doc), sorted by key: (k1, k2, least) of each segment. An index has whole keys."""
-    import pyarrow as pa
-
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("least", pa.list_(pa.int64()))])
-    held: list[tuple[int, bytes, int]] = []
-    size = 0
-
-    def found() -> Iterator:
-        contents = [c for _, c, _ in held]
-        least = least_ids(contents, np.array([d for *_, d in held], np.int64))
-        keys = [_keys(c) for c in contents]
-        ends = np.cumsum([0, *map(len, least)])
-        for i in range(0, len(keys), 20_000):
-            j = min(len(keys), i + 20_000)
-            values = pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), pa.array(np.concatenate(least[i:j])))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys[i:j]], pa.int64()), pa.array([k[1] for k in keys[i:j]], pa.int64()), values], schema=schema)
-
-    for batch in batches:
-        for row in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist(), batch.column("doc").to_pylist(), strict=True):
-            if size >= SHARD and row[0] != held[-1][0]:
-                yield from found()
-                held, size = [], 0
-            held.append(row)
-            size += row[1].count(b" ") + 2
-    if held:
-        yield from found()
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """Rows (doc, at): for each doc_id, row hashes and first words of the windows that an earlier document has."""
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    grams = stored(rows.mapInArrow(_anchor_rows, "h bigint, doc bigint"), "anchors")
-    shared = grams.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("h", (F.col("n") > HOT).alias("hot"))
-    owned = grams.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    joined = rows.join(owned, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared", "hot")
-    library = joined.mapInArrow(_segment_rows(True), "key bigint, content binary, doc bigint").groupBy("key", "content").agg(F.min("doc").alias("doc"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = library.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search, "k1 bigint, k2 bigint, least array<bigint>")
-    stream = joined.mapInArrow(_segment_rows(False), "k1 bigint, k2 bigint, doc bigint, row bigint, first bigint")
-    places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc"), F.col("first") + i)), lambda x: x.isNotNull())
-    met = stream.join(least, ["k1", "k2"]).select("doc", "row", places.alias("windows")).where(F.size("windows") > 0)
-    return met.groupBy("doc").agg(F.collect_list(F.struct("row", "windows")).alias("at"))
+def _search(table):
+    """Shard -> batches: a: numbers of segments, b: their windows, c: the least id of each window. Others pass."""
+    import zstandard
+
+    kinds = table.column("kind").to_pylist()
+    if kinds[0] == 1:
+        return table.select(["dest", "batch", "kind", *NAMES])
+    press = zstandard.ZstdDecompressor().decompress
+    rows = [(press(e).split(b"\n"), wide(a).tolist(), np.frombuffer(b, "<i8").tolist()) for a, b, e in zip(*(table.column(c).to_pylist() for c in "abe"), strict=True)]
+    first: dict[bytes, list[int]] = {}  # segment -> anchor and least id
+    for contents, keys, low in rows:
+        for content, key, doc in zip(contents, keys, low, strict=True):
+            known = first.get(content)
+            if known is None:
+                first[content] = [key, doc]
+            elif doc < known[1]:
+                known[1] = doc
+    order = sorted(first, key=lambda c: first[c][0])
+    found: dict[bytes, np.ndarray] = {}
+    at = 0
+    while at < len(order):  # indexes of whole anchors
+        end, size = at, 0
+        while end < len(order) and (size < SHARD or first[order[end]][0] == first[order[end - 1]][0]):
+            size += order[end].count(b" ") + 2
+            end += 1
+        own = order[at:end]
+        found.update(zip(own, least_ids(own, np.array([first[c][1] for c in own], np.int64)), strict=True))
+        at = end
+    out = []
+    for (contents, _, _), batch, high, numbers in zip(rows, *(table.column(c).to_pylist() for c in ("batch", "c", "d")), strict=True):
+        least = [found[c] for c in contents]
+        use = [i for i, (x, doc) in enumerate(zip(least, np.frombuffer(high, "<i8").tolist(), strict=True)) if x.min() < doc]
+        if use:
+            out.append((0, batch, 0, np.frombuffer(numbers, "<i4")[use].tobytes(), np.array([len(least[i]) for i in use], "<i4").tobytes(), np.concatenate([least[i] for i in use]).astype("<i8").tobytes(), None, None))
+    return messages(out)
+
+
+def repeated_windows(batch: Batch, replies) -> list[list[int]]:
+    """For each document of a batch, the first words of its windows that an earlier document has."""
+    out: list[list[int]] = [[] for _ in batch.ids]
+    least: dict[int, np.ndarray] = {}
+    seen = []
+    for kind, a, b, c in zip(*(replies.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
+        if kind == 1:
+            seen.append(tuple(np.frombuffer(x, "<i4").tolist() for x in (a, b, c)))
+        else:
+            sizes = np.frombuffer(b, "<i4")
+            least.update(zip(np.frombuffer(a, "<i4").tolist(), np.split(np.frombuffer(c, "<i8"), np.cumsum(sizes)[:-1]), strict=True))
+    for numbers, docs, firsts in seen:
+        for n, i, first in zip(numbers, docs, firsts, strict=True):
+            x = least.get(n)
+            if x is not None:
+                out[i] += (np.flatnonzero(x < batch.ids[i]) + first).tolist()
+    return out
 
 
 def kept_words(n: int, windows: list[int]) -> np.ndarray:
@@ -199,44 +290,49 @@ def kept_words(n: int, windows: list[int]) -> np.ndarray:
     return np.cumsum(step[:n]) == 0
 
 
-def _with_windows(docs: DataFrame, columns: list[str], run, schema) -> DataFrame:
-    """``run`` over the rows of ``docs`` with ``at``. Rows without id skip the join, and its shuffle."""
+def _with_windows(docs: DataFrame, run: Callable, schema) -> DataFrame:
+    """``run(table, windows)`` over batches of ``docs``; windows has, by row, the windows that an earlier document has."""
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text", *columns)
-    found = repeated_windows(docs).withColumnRenamed("doc", "_doc").withColumnRenamed("at", "_at")
-    joined = rows.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", *columns, "_at")
-    lone = rows.where("doc_id IS NULL").withColumn("_at", F.lit(None).cast(found.schema["_at"].dataType))
-    return joined.union(lone).mapInArrow(run, schema)
-
-
-def _windows(text: bytes, at) -> list[int]:
-    own = _row(text) if at else 0
-    return [i for x in at or () if x["row"] == own for i in x["windows"]]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(docs)
+    n, places = max(2 * parts, size // BATCH_BYTES + 1), min(4 * parts, max(PLACES, size // PLACE_BYTES))
+    own = free("_batch", docs)
+    dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    batches = dealt.groupBy(own)
+    shared = batches.applyInArrow(_anchors_of(places), MESSAGE).groupBy("dest").applyInArrow(_shared, MESSAGE)
+    sent = batches.cogroup(shared.groupBy("batch")).applyInArrow(_segments_of(places), MESSAGE)
+    found = sent.groupBy("dest").applyInArrow(_search, MESSAGE)
+
+    def last(key, table, replies):
+        windows: list[list[int]] = [[] for _ in range(table.num_rows)]
+        if replies.num_rows:
+            batch = Batch(table)
+            for row, own in zip(batch.rows, repeated_windows(batch, replies), strict=True):
+                windows[row] = own
+        return run(table, windows)
+
+    return batches.cogroup(found.groupBy("batch")).applyInArrow(last, schema)
 
 
 def substring(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by spaces) of every row of ``docs``."""
 
-    def run(batches: Iterator) -> Iterator:
+    def run(table, windows):
         import pyarrow as pa
 
-        for batch in sliced(batches):
-            out = []
-            for text, at in zip(text_bytes(batch.column("text")), batch.column("_at").to_pylist(), strict=True):
-                words, windows = text.split(), _windows(text, at)
-                kept = [w for w, k in zip(words, kept_words(len(words), windows).tolist(), strict=True) if k] if windows else words
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, removed, sha = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        out = []
+        for text, own in zip(text_bytes(table.column("text")), windows, strict=True):
+            words = text.split()
+            kept = [w for w, k in zip(words, kept_words(len(words), own).tolist(), strict=True) if k] if own else words
+            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table([table.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
-    return _with_windows(docs, [], run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _with_windows(docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text"), run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(text: bytes, windows: list[int]) -> bytes:
     """The text without the words of the windows; what goes leaves a line end if it had one, else a space."""
-    import re
-
     spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
     keep = kept_words(len(spans), windows)
     out, last = [], 0
@@ -252,24 +348,20 @@ def remove(text: bytes, windows: list[int]) -> bytes:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, repeated passages taken out of their texts; n_chars follows, and texts of which nothing is left go."""
     names = docs.columns
-    others = [c for c in names if c not in ("doc_id", "text")]
 
-    def run(batches: Iterator) -> Iterator:
+    def run(table, windows):
         import pyarrow as pa
 
-        for batch in sliced(batches):
-            texts, keep = [], []
-            for text, at in zip(text_bytes(batch.column("text")), batch.column("_at").to_pylist(), strict=True):
-                windows = _windows(text, at)
-                texts.append(remove(text, windows) if windows else text)
-                keep.append(bool(texts[-1]) or not windows)
-            new = pa.array([t.decode() for t in texts], pa.string())
-            columns = {c: batch.column(c) for c in names} | {"text": new}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) for t in new.to_pylist()], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep))
-
-    return _with_windows(docs, others, run, docs.schema)
+        texts = [remove(t, own) if own else t for t, own in zip(text_bytes(table.column("text")), windows, strict=True)]
+        null = table.column("text").is_null().to_pylist()
+        new = [None if x else t.decode() for t, x in zip(texts, null, strict=True)]
+        columns = {c: table.column(c) for c in names} | {"text": pa.array(new, pa.string())}
+        if "n_chars" in columns:
+            old = table.column("n_chars").to_pylist()
+            columns["n_chars"] = pa.array([len(t) if own else x for t, own, x in zip(new, windows, old, strict=True)], table.column("n_chars").type)
+        return pa.table([columns[c] for c in names], names=names).filter(pa.array([bool(t) or not own for t, own in zip(texts, windows, strict=True)]))
+
+    return _with_windows(docs, run, docs.schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
