@@ -82,6 +82,7 @@ def blocks(page: str) -> list[tuple[str, float, int, str]]:
     linked = links = 0
     stack: list[tuple[str, int, str]] = []
     regions, region, kind = 1, 0, "page"
+    holder, told = "", False  # what holds boilerplate; whether an article has begun
 
     def flush() -> None:
         nonlocal linked
@@ -114,13 +115,15 @@ def blocks(page: str) -> list[tuple[str, float, int, str]]:
                         break
             elif tag not in ("hr", "p", "body", "html"):
                 stack.append((tag, region, kind))
-                if kind != "bad" and boilerplate(tag, m[4], kind == "article") or kind == "bad" and tag == "article" and boilerplate(tag, m[4], False):
-                    region, kind, regions = regions, "bad", regions + 1
-                elif tag in ("article", "main"):  # ends what stands open and unclosed around it
-                    region, kind, regions = regions, "article", regions + 1
+                bad = boilerplate(tag, m[4], kind == "article")
+                if bad:
+                    if kind != "bad":
+                        region, kind, regions, holder = regions, "bad", regions + 1, tag
+                elif tag == "main" or tag == "article" and (kind != "bad" or not told and holder not in BAD_TAGS):
+                    region, kind, regions, told = regions, "article", regions + 1, True  # also out of an unclosed box before it
             elif tag == "p" and kind != "bad" and m[4] and boilerplate(tag, m[4], kind == "article"):
                 stack.append((tag, region, kind))
-                region, kind, regions = regions, "bad", regions + 1
+                region, kind, regions, holder = regions, "bad", regions + 1, tag
     flush()
     return out
 
