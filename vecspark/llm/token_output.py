@@ -1,7 +1,7 @@
 """Token ids as ORC files.
 
 Texts are dealt by ranges of doc_id and sorted, encoded, and written as one ORC row a document: doc_id, part (the range),
-before (ids of the documents before it in its part) and the ids, each text's end id included. ORC keeps integers
+before (ids of the documents before it in its part), n (its own) and the ids, each text's end id included. ORC keeps integers
 run-length encoded in stripes, with row indexes, and here a Bloom filter on doc_id: readers take stripes in parallel
 and skip those, and row groups, whose statistics or filter exclude the ids asked for (``find``).
 
@@ -33,7 +33,7 @@ MEMO = 400_000
 MEMO_CHARS = 64
 #: ORC's options: stripes of 16 MB, an index entry each 1,000 rows, a Bloom filter on the document's id.
 ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
-FILE_SCHEMA = "doc_id bigint, part int, before bigint, ids array<int>"
+FILE_SCHEMA = "doc_id bigint, part int, before bigint, n int, ids array<int>"
 
 
 class Crossing(Exception):
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             n = len(coded)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(before + ends[:-1], pa.int64()), ids], ["doc_id", "part", "before", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(before + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int32()), ids], ["doc_id", "part", "before", "n", "ids"])
             before += int(ends[-1])
 
     rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
@@ -180,8 +180,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("before"), pa.array((ends[1:] - ends[:-1]).astype("int64")), pa.array(crc, pa.int64())], ["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
-    rows = read_tokens(spark, path).mapInArrow(run, "doc_id bigint, part int, before bigint, n_tokens bigint, ids_crc32 bigint")
-    sizes = read_tokens(spark, path).groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("n"))
+    rows = read_tokens(spark, path).drop("n").mapInArrow(run, "doc_id bigint, part int, before bigint, n_tokens bigint, ids_crc32 bigint")
+    sizes = read_tokens(spark, path).groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n"))
     starts = sizes.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     # one row for each file's part, never more than ``parts_for`` allows
     return rows.join(F.broadcast(starts), F.col("part") == F.col("_part")).select("doc_id", (F.col("before") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
