@@ -120,7 +120,8 @@ def blockwise(base: DataFrame, blocks, task: Callable, schema: str) -> DataFrame
 def ranked(found: DataFrame, k: int, similarity: bool = False) -> DataFrame:
     """The k best rows of each query with rank 0..k-1, by distance and id."""
     order = F.col("dist").desc() if similarity else F.col("dist").asc()
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(order, "id")) - 1).where(F.col("rank") < k)
+    placed = found.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(order, "id"))).where(F.col("_n") <= k)
+    return placed.withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def padded(result: DataFrame, queries: DataFrame, k: int, similarity: bool = False) -> DataFrame:

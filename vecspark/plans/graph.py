@@ -226,3 +226,45 @@ def _searched(shared, k: int, ef: int, radius: float | None):
         return pa.Table.from_batches([best.batch(qids)])
 
     return run
+
+
+def from_neighbours(knn: DataFrame, shards: int = 1) -> DataFrame:
+    """Level-0 edges from a result (query_id, rank, id) of a search of the base in itself; own matches are left out."""
+    shard = F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")
+    inside = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int") == shard
+    return knn.where((F.col("query_id") != F.col("id")) & inside).select(shard.alias("shard"), F.lit(0).alias("level"), F.col("query_id").alias("src"), F.col("id").alias("dst"))
+
+
+def with_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Edges with given rows (shard, id) as starts of their shards, in place of those that there are."""
+    own = starts.select("shard", F.lit(-1).alias("level"), F.col("id").alias("src"), F.col("id").alias("dst"))
+    return edges.where("level >= 0").unionByName(own)
+
+
+def relinked(edges: DataFrame, base: DataFrame, most: int) -> DataFrame:
+    """Each row's level-0 links in order of distance, the first ``most``: (shard, src, dst, rank, dist)."""
+    from pyspark.sql import Window as W
+
+    from vecspark.functions.vectors import l2
+
+    a = base.select(F.col("id").alias("_a"), F.col("vec").alias("_av"))
+    b = base.select(F.col("id").alias("_b"), F.col("vec").alias("_bv"))
+    both = edges.where("level = 0").join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b"))
+    far = both.select("shard", "src", "dst", l2(F.col("_av"), F.col("_bv")).alias("dist"))
+    return far.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst")) - 1).where(F.col("rank") < most)
+
+
+def singletons(edges: DataFrame, base: DataFrame) -> DataFrame:
+    """id of the rows that no level-0 edge reaches."""
+    reached = edges.where("level = 0 AND src <> dst").select(F.col("dst").alias("_d")).distinct()
+    return base.select("id").join(reached, F.col("id") == F.col("_d"), "left_anti")
+
+
+def linked_singletons(edges: DataFrame, base: DataFrame, knn: DataFrame) -> DataFrame:
+    """Edges to every row that none reaches, from its nearest neighbour in ``knn`` (query_id, rank, id)."""
+    lone = singletons(edges, base).select(F.col("id").alias("_i"))
+    first = knn.where(F.col("query_id") != F.col("id")).groupBy("query_id").agg(F.min_by("id", "rank").alias("near"))
+    new = first.join(lone, F.col("query_id") == F.col("_i")).select(F.col("near").alias("src"), F.col("query_id").alias("dst"))
+    shard = edges.select(F.col("src").alias("_s"), "shard").distinct()
+    own = new.join(shard, F.col("src") == F.col("_s")).select("shard", F.lit(0).alias("level"), "src", "dst")
+    return edges.unionByName(own)

@@ -65,8 +65,8 @@ def modulo_routing(spark, sf_dir):
 
 #: The configurations and platforms that the models are stated for.
 SETS = [("SIFT1B", 128, 10**9), ("DEEP1B", 96, 10**9), ("SPACEV1B", 100, 10**9), ("T2I1B", 200, 10**9), ("SIFT100M", 128, 10**8), ("DEEP100M", 96, 10**8)]
-PLATFORMS = [("UPMEM", 43.8, 80.4), ("GPU", 156000.0, 1935.0), ("CPU", 288.0, 19.2)]
-FACTORS = {"UPMEM": [16, 24, 32], "GPU": [2]}
+PLATFORMS = [("PIM", 43.8, 80.4), ("GPU", 156000.0, 1935.0), ("CPU", 288.0, 19.2)]
+FACTORS = {"PIM": [16, 24, 32], "GPU": [2]}
 
 
 def _sets(spark):
@@ -84,7 +84,7 @@ def arithmetic_intensity(spark, sf_dir):
     return models.intensity(_sets(spark)).select("name", F.round("intensity", 6).alias("intensity"))
 
 
-_ROOFS = "p(platform, power, bandwidth) AS (VALUES " + ", ".join([f"('UPMEMx{f}', 43.8::DOUBLE * {f}, 80.4::DOUBLE * {f})" for f in FACTORS["UPMEM"]] + ["('GPU', 156000::DOUBLE, 1935::DOUBLE)", "('GPUx2', 312000::DOUBLE, 3870::DOUBLE)", "('CPU', 288::DOUBLE, 19.2::DOUBLE)"]) + ")"
+_ROOFS = "p(platform, power, bandwidth) AS (VALUES " + ", ".join([f"('PIMx{f}', 43.8::DOUBLE * {f}, 80.4::DOUBLE * {f})" for f in FACTORS["PIM"]] + ["('GPU', 156000::DOUBLE, 1935::DOUBLE)", "('GPUx2', 312000::DOUBLE, 3870::DOUBLE)", "('CPU', 288::DOUBLE, 19.2::DOUBLE)"]) + ")"
 
 
 @query("platform_roofs", f"WITH {_SETS}, {_INTENSITY}, {_ROOFS} SELECT name, platform, round(least(power, bandwidth * intensity), 4) AS reachable, bandwidth * intensity < power AS memory_bound FROM i, p")

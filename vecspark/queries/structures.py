@@ -18,7 +18,7 @@ from vecspark.plans import graph, kmeans, transforms as X, tuning
 from vecspark.plans.factory import vector_index
 from vecspark.plans.index import VectorIndex, product_modes
 from vecspark.queries.searching import K, _both
-from vecspark.queries.sql import joined, sql, texts
+from vecspark.queries.sql import joined, l2, sql, texts, top
 from vecspark.registry import query
 from vecspark.sources import tables as T
 
@@ -163,6 +163,47 @@ def graph_edges(spark, sf_dir):
     return graph.build(T.floats(spark, sf_dir), "knn", k=8)
 
 
+def _self_knn(spark, sf_dir, k: int):
+    base = T.integers(spark, sf_dir)
+    return base, S.knn(base.withColumnRenamed("id", "query_id"), base, k, integer=True)
+
+
+_KNN = f"n AS ({top('SELECT q.id AS query_id, v.id, ' + l2('q.vec', 'v.vec') + ' AS dist FROM v q, v', 6)})"
+_EDGES = "e AS (SELECT query_id AS src, id AS dst, dist FROM n WHERE query_id <> id)"
+
+
+@query("graph_from_neighbours", sql("SELECT 0 AS shard, 0 AS level, src, dst FROM e", _KNN, _EDGES))
+def graph_from_neighbours(spark, sf_dir):
+    return graph.from_neighbours(_self_knn(spark, sf_dir, 6)[1])
+
+
+@query("graph_relinked", sql("SELECT src, dst, dist::DOUBLE AS dist, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS rank FROM e) WHERE rank < 3", _KNN, _EDGES))
+def graph_relinked(spark, sf_dir):
+    base, knn = _self_knn(spark, sf_dir, 6)
+    return graph.relinked(graph.from_neighbours(knn), base, 3).select("src", "dst", "dist", "rank")
+
+
+@query("graph_singletons", sql("SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)", _KNN, _EDGES))
+def graph_singletons(spark, sf_dir):
+    base, knn = _self_knn(spark, sf_dir, 6)
+    return graph.singletons(graph.from_neighbours(knn), base)
+
+
+@query("graph_linked_singletons", sql("SELECT count(*) AS lone FROM v WHERE id NOT IN (SELECT dst FROM e) AND id NOT IN (SELECT src FROM e)", _KNN, _EDGES))
+def graph_linked_singletons(spark, sf_dir):
+    """Rows that no edge reaches after each got one from its nearest neighbour: none."""
+    base, knn = _self_knn(spark, sf_dir, 6)
+    return graph.singletons(graph.linked_singletons(graph.from_neighbours(knn), base, knn), base).agg(F.count("*").alias("lone"))
+
+
+@query("graph_from_starts")
+def graph_from_starts(spark, sf_dir):
+    """A search over a kNN graph from a given start."""
+    queries, base = _both(spark, sf_dir, T.floats)
+    edges = graph.with_starts(graph.build(base, "knn", k=24, shards=1), base.where("id = 3").select(F.lit(0).alias("shard"), "id"))
+    return graph.search(queries, base, edges, K, ef=64, shards=1)
+
+
 @query("binary_graph")
 def binary_graph(spark, sf_dir):
     """A graph over bits: as vectors of 0 and 1, whose squared distance is the Hamming distance."""
