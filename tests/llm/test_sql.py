@@ -45,7 +45,7 @@ def test_odd_rows_match_sql(spark, odd_tables, name):
     same(spark, queries.queries()[name], queries.oracle_sql()[name], odd_tables)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"pipeline", "op9_decontaminate"}))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables_give_no_rows(spark, tmp_path, name):
     for t in ("documents", "pages", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
