@@ -172,16 +172,20 @@ def rejected(docs: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_lang", "_source", *names)
 
 
+def limits_of(measured: DataFrame) -> DataFrame:
+    """The stored thresholds; the measures are read once, for the sketches, which are stored too."""
+    return stored(thresholds(stored(sketches(measured), "sketches")), "limits")
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed and kept, for every row of ``docs`` (doc_id, text, lang, source)."""
     measured = stored(measure(docs.select("doc_id", "text", "lang", "source")), "quality")
-    limits = stored(thresholds(sketches(measured)), "limits")
-    return rejected(measured, limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rejected(measured, limits_of(measured)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Measures are taken twice, so that no text is shuffled."""
-    limits = stored(thresholds(sketches(measure(docs))), "limits")
+    limits = limits_of(measure(docs))
     clash = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
     packed = docs.select("doc_id", "lang", "source", F.struct("text", *clash).alias("_row"), _measures(F.col("text")).alias("_m")).select("doc_id", "lang", "source", "_row", "_m.*")
     kept = rejected(packed, limits).where("kept")
