@@ -85,8 +85,9 @@ def wide(data: bytes) -> np.ndarray:
 
 
 def place(keys: np.ndarray, n: int) -> np.ndarray:
-    """The bucket or shard, of n, of each anchor: its range."""
-    return ((keys >> np.uint64(BITS - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+    """The bucket or shard, of n, of each anchor. Anchors are least hashes, so that low ones are many: they are mixed again."""
+    mixed = keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    return (mixed * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
 def messages(rows: list[tuple]):
