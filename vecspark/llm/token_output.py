@@ -92,12 +92,16 @@ class Words(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        """Ids of a whole text."""
+        """Ids of a whole text: line by line, if no line has white space at an end."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
+        word, bare = self.__getitem__, self.bare.__getitem__
         try:
-            return self.bare[first] + b"".join(map(self.__getitem__, rest))
+            lines = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                lines.append(bare(first) + b"".join(map(word, rest)))
+            return self.line_end.join(lines)
         except Crossing:
             return self.pieces(text)
 
