@@ -139,6 +139,22 @@ def test_merge_needs_equal_models(spark):
     assert whole.removed(F.col("id") < 100).codes.count() == base.where("id >= 100").count()
 
 
+def test_equal_vectors_have_one_code(spark, tmp_path):
+    from vecspark.plans.index import load
+
+    base = T.floats(spark, SF).where("id < 100")
+    twice = base.unionByName(base.withColumn("id", F.col("id") + 1000))
+    index = vector_index(64, "IVF4,FlatDedup").train(base).add(twice)
+    index.nprobe = 4
+    assert index.codes.count() == 100 and index.instances.count() == 200
+    queries = T.as_queries(base)
+    want = sorted(map(tuple, S.knn(queries, twice, 6).select("query_id", "id").collect()))
+    index.save(str(tmp_path))
+    assert sorted(map(tuple, load(spark, str(tmp_path)).search(queries, 6).select("query_id", "id").collect())) == want
+    left = index.removed(F.col("id") < 1000).search(queries, 1)
+    assert {(r.query_id, r.id) for r in left.collect()} == {(r.query_id, r.query_id + 1000) for r in queries.collect()}
+
+
 def test_edge_rows(spark):
     rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [float("nan"), 0.0]), (4, None)]
     base = spark.createDataFrame(rows, "id bigint, vec array<double>")

@@ -103,7 +103,7 @@ def vector_index(d: int, description: str, metric: Metric = Metric.L2) -> Vector
         elif codec := codec_of(part, own):
             if part.startswith("LSHr") or part.startswith("LSHrt"):
                 index.chain.append(X.Rotation(d=own))
-            index.codec, done = codec, True
+            index.codec, index.dedup, done = codec, part == "FlatDedup", True
         else:
             raise ValueError(f"no such part: {part}")
     return index

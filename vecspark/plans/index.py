@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecspark.operators import search as S
+from vecspark.operators.aggregate import deduplicated
 from vecspark.operators.search import Best, Metric, blockwise, distances, matrix, query_blocks, ranked
 from vecspark.plans.codecs import Flat, Product
 from vecspark.plans.kmeans import MAX_POINTS, KMeans, nearest, rows_of, sample
@@ -43,6 +44,8 @@ class VectorIndex:
     coarse: object | None = field(default=None, repr=False)
     spherical: bool | None = None
     seed: int = 1234
+    dedup: bool = False
+    instances: DataFrame = field(default=None, repr=False)
     codes: DataFrame = field(default=None, repr=False)
     refined: DataFrame = field(default=None, repr=False)
 
@@ -86,7 +89,7 @@ class VectorIndex:
 
     def _model(self) -> VectorIndex:
         """The parts without the tables, to be sent."""
-        return replace(self, codes=None, refined=None)
+        return replace(self, codes=None, refined=None, instances=None)
 
     def encode(self, df: DataFrame) -> DataFrame:
         """list_no, id, code of each row of ``df`` (id, vec) that has a vector without NaN."""
@@ -109,6 +112,10 @@ class VectorIndex:
         return rows.mapInArrow(run, "list_no int, id bigint, code array<double>")
 
     def add(self, df: DataFrame) -> VectorIndex:
+        """Codes of every row; with ``dedup`` equal vectors of a call have one code, under their least id, and ``instances`` (first, id)."""
+        if self.dedup:
+            df, instances = deduplicated(df)
+            self.instances = instances if self.instances is None else self.instances.unionByName(instances)
         codes = self.encode(df)
         raw = df.select("id", "vec") if self.refine is not None else None
         self.codes = codes if self.codes is None else self.codes.unionByName(codes)
@@ -238,6 +245,9 @@ class VectorIndex:
         out = ranked(self._scan(queries, nprobe or self.nprobe, probes, keep, emit, "query_id bigint, id bigint, dist double, list_no int", limits), wanted, similar)
         if self.refine is not None:
             out = self.rescored(queries, out).transform(lambda d: ranked(d, k, similar))
+        if self.dedup:
+            both = out.select("query_id", F.col("id").alias("_f"), "dist", "list_no").join(self.instances, F.col("_f") == F.col("first"))
+            out = ranked(both.select("query_id", "id", "dist", "list_no"), k, similar)
         out = out.select("query_id", "rank", "id", "dist", "list_no")
         return S.padded(out, queries, k, similar) if pad else out
 
@@ -299,13 +309,17 @@ class VectorIndex:
             raise ValueError("the indexes differ in metric, quantizer or codec")
         codes = self.codes.unionByName(other.codes.withColumn("id", F.col("id") + add_id))
         refined = None if self.refined is None else self.refined.unionByName(other.refined.withColumn("id", F.col("id") + add_id))
-        return replace(self, codes=codes, refined=refined)
+        instances = None if self.instances is None else self.instances.unionByName(other.instances.select(F.col("first") + add_id, F.col("id") + add_id).toDF("first", "id"))
+        return replace(self, codes=codes, refined=refined, instances=instances)
 
     def removed(self, selector: Column) -> VectorIndex:
+        """Without the selected ids; of deduplicated rows the ids go, their code stays for the others."""
+        if self.dedup:
+            return replace(self, instances=self.instances.where(~selector))
         return replace(self, codes=self.codes.where(~selector), refined=None if self.refined is None else self.refined.where(~selector))
 
     def empty(self) -> VectorIndex:
-        return replace(self, codes=None, refined=None)
+        return replace(self, codes=None, refined=None, instances=None)
 
     def save(self, path: str) -> None:
         """Codes as Parquet, one folder a list; the model as one pickled row."""
@@ -315,9 +329,12 @@ class VectorIndex:
 
         spark = self.codes.sparkSession
         save_by_list(self.codes, f"{path}/codes")
-        if self.refined is not None:
-            self.refined.write.mode("overwrite").parquet(f"{path}/refined")
-        spark.createDataFrame([(bytearray(pickle.dumps(self._model())), self.refined is not None)], "model binary, refined boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+        kept = {"refined": self.refined, "instances": self.instances}
+        for name, df in kept.items():
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        there = [df is not None for df in kept.values()]
+        spark.createDataFrame([(bytearray(pickle.dumps(self._model())), *there)], "model binary, refined boolean, instances boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load(spark, path: str) -> VectorIndex:
@@ -325,7 +342,8 @@ def load(spark, path: str) -> VectorIndex:
 
     row = spark.read.parquet(f"{path}/model").first()
     codes = spark.read.parquet(f"{path}/codes").select("list_no", "id", "code")
-    return replace(pickle.loads(row[0]), codes=codes, refined=spark.read.parquet(f"{path}/refined") if row[1] else None)
+    more = {name: spark.read.parquet(f"{path}/{name}") if row[name] else None for name in ("refined", "instances")}
+    return replace(pickle.loads(row[0]), codes=codes, **more)
 
 
 def _grouped(probes: DataFrame) -> dict[int, list[tuple[int, float]]]:
