@@ -110,9 +110,11 @@ def sketches(measured: DataFrame) -> DataFrame:
 
     Sums of counts, which are combined before the shuffle; a hot source adds one row a task and bucket.
     """
-    x = measured.where("NOT base_failed").selectExpr("lang", "source", f"stack({len(MEASURES)}, {', '.join(f'{k!r}, cast({v} AS bigint)' for k, v in MEASURES.items())}) AS (name, x)")
+    x = measured.selectExpr("lang", "source", "base_failed", f"stack({len(MEASURES)}, {', '.join(f'{k!r}, cast({v} AS bigint)' for k, v in MEASURES.items())}) AS (name, x)")
     shift = SHIFT.format(x="x")
-    return x.selectExpr("lang", "source", "name", BUCKET.format(x="x", shift=shift) + " AS b").groupBy("lang", "source", "name", "b").agg(F.count("*").alias("n"))
+    counted = x.selectExpr("lang", "source", "name", "base_failed", BUCKET.format(x="x", shift=shift) + " AS b").groupBy("lang", "source", "name", "b")
+    # the condition is in the sum: as a filter before it, Catalyst would take the measures twice
+    return counted.agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n")).where("n > 0")
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -188,8 +190,9 @@ def passing(docs: DataFrame) -> DataFrame:
     limits = limits_of(measure(docs))
     clash = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
     packed = docs.select("doc_id", "lang", "source", F.struct("text", *clash).alias("_row"), _measures(F.col("text")).alias("_m")).select("doc_id", "lang", "source", "_row", "_m.*")
-    kept = rejected(packed, limits).where("kept")
-    return kept.select(*[c if c in ("doc_id", "lang", "source") else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    row = F.struct(*[F.col(c) if c in ("doc_id", "lang", "source") else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    # as a generator: a filter would move below the measures' projection and take them once more
+    return rejected(packed, limits).select(F.explode(F.when(F.col("kept"), F.array(row))).alias("_kept")).select("_kept.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
