@@ -95,20 +95,13 @@ class FMIndex:
             new[1:] |= padded[at[1:] + k] != padded[at[:-1] + k]
         return np.append(np.flatnonzero(new), len(at))
 
-    def matching_statistics(self, patterns: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """For each place of each pattern: the length of the longest match that starts there, up to ``length``, and its rows.
-
-        Patterns are read backwards, all at once. A match of ``length`` words that grows by one in front is cut to its
-        first ``length``: its rows are then those of the run of equal first ``length`` symbols. Where a match can't grow,
-        shorter ones are searched from there.
-        """
-        groups = self.groups(length)
-        sizes = np.array([len(p) for p in patterns])
+    def statistics_table(self, patterns: list[np.ndarray], length: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``matching_statistics`` as tables, a row a pattern, aligned at their ends: lengths, low and high rows; and the patterns' sizes."""
+        sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
         most = int(sizes.max(initial=0))
         table = np.zeros((len(patterns), most), np.int64)
-        for i, p in enumerate(patterns):
-            table[i, most - len(p) :] = p
-        sizes_out, lows, highs = (np.zeros((len(patterns), most), np.int64) for _ in range(3))
+        table[np.arange(most)[None, :] >= most - sizes[:, None]] = np.concatenate(patterns) if len(patterns) else 0
+        out, lows, highs = (np.zeros((len(patterns), most), np.int64) for _ in range(3))
         size = np.zeros(len(patterns), np.int64)
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.text))
         for col in range(most - 1, -1, -1):
@@ -132,6 +125,15 @@ class FMIndex:
                 g = np.searchsorted(groups, a[cut], "right") - 1
                 a[cut], b[cut] = groups[g], groups[g + 1]
             low[live], high[live], size[live] = a, b, np.minimum(grown, length)
-            sizes_out[live, col], lows[live, col], highs[live, col] = size[live], a, b
-        cuts = [slice(most - int(n), most) for n in sizes]
-        return [sizes_out[i, c] for i, c in enumerate(cuts)], [lows[i, c] for i, c in enumerate(cuts)], [highs[i, c] for i, c in enumerate(cuts)]
+            out[live, col], lows[live, col], highs[live, col] = size[live], a, b
+        return out, lows, highs, sizes
+
+    def matching_statistics(self, patterns: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For each place of each pattern: the length of the longest match that starts there, up to ``length``, and its rows.
+
+        Patterns are read backwards, all at once. A match of ``length`` words that grows by one in front is cut to its
+        first ``length``: its rows are then those of the run of equal first ``length`` symbols. Where a match can't grow,
+        shorter ones are searched from there.
+        """
+        *tables, sizes = self.statistics_table(patterns, length, self.groups(length))
+        return tuple([t[i, t.shape[1] - int(n) :] for i, n in enumerate(sizes)] for t in tables)

@@ -208,22 +208,23 @@ def _segments_of(shards: int) -> Callable:
     return run
 
 
-def least_ids(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each window of each segment, the least id of the segments that have its words anywhere: by an FM-index."""
-    number: dict[bytes, int] = {}
-    put = number.setdefault
-    sequences = [np.array([put(w, len(number) + 1) for w in c.split(b" ")], np.int64) for c in contents]
+def least_ids(contents: list[bytes], docs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each window of each segment, the least id of the segments that have its words anywhere, by an FM-index; and the least of these."""
+    words = b" ".join(contents).split(b" ")
+    number = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}
+    flat = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    ends = np.cumsum([c.count(b" ") + 1 for c in contents])
+    sequences = np.split(flat, ends[:-1])
     index = FMIndex(sequences, len(number))
-    sizes, lows, highs = index.matching_statistics(sequences, WINDOW)
     starts = index.groups(WINDOW)
-    least = np.minimum.reduceat(docs[index.owner], starts[:-1])
-    out = []
-    for size, low, high in zip(sizes, lows, highs, strict=True):
-        n = len(size) - WINDOW + 1
-        if not ((size[:n] == WINDOW) & (low[:n] < high[:n])).all():
-            raise AssertionError("a segment isn't found in its own index")
-        out.append(least[np.searchsorted(starts, low[:n], "right") - 1])
-    return out
+    length, low, high, sizes = index.statistics_table(sequences, WINDOW, starts)
+    places = np.arange(length.shape[1])[None, :]
+    windows = (places >= length.shape[1] - sizes[:, None]) & (places <= length.shape[1] - WINDOW)
+    if not ((length[windows] == WINDOW) & (low[windows] < high[windows])).all():
+        raise AssertionError("a segment isn't found in its own index")
+    least = np.minimum.reduceat(docs[index.owner], starts[:-1])[np.searchsorted(starts, low[windows], "right") - 1]
+    firsts = np.concatenate([[0], np.cumsum(sizes - WINDOW + 1)])
+    return np.split(least, firsts[1:-1]), np.minimum.reduceat(least, firsts[:-1])
 
 
 def _search(table):
@@ -244,7 +245,7 @@ def _search(table):
             elif doc < known[1]:
                 known[1] = doc
     order = sorted(first, key=lambda c: first[c][0])
-    found: dict[bytes, np.ndarray] = {}
+    found: dict[bytes, tuple[np.ndarray, int]] = {}
     at = 0
     while at < len(order):  # indexes of whole anchors
         end, size = at, 0
@@ -252,13 +253,15 @@ def _search(table):
             size += order[end].count(b" ") + 2
             end += 1
         own = order[at:end]
-        found.update(zip(own, least_ids(own, np.array([first[c][1] for c in own], np.int64)), strict=True))
+        least, best = least_ids(own, np.array([first[c][1] for c in own], np.int64))
+        found.update(zip(own, zip(least, best.tolist(), strict=True), strict=True))
         at = end
     out = []
     for (contents, _, _), batch, high, numbers in zip(rows, *(table.column(c).to_pylist() for c in ("batch", "c", "d")), strict=True):
         least = [found[c] for c in contents]
-        use = [i for i, (x, doc) in enumerate(zip(least, np.frombuffer(high, "<i8").tolist(), strict=True)) if x.min() < doc]
+        use = [i for i, (x, doc) in enumerate(zip(least, np.frombuffer(high, "<i8").tolist(), strict=True)) if x[1] < doc]
         if use:
+            least = {i: least[i][0] for i in use}
             out.append((0, batch, 0, np.frombuffer(numbers, "<i4")[use].tobytes(), np.array([len(least[i]) for i in use], "<i4").tobytes(), np.concatenate([least[i] for i in use]).astype("<i8").tobytes(), None, None))
     return messages(out)
 
