@@ -11,9 +11,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.sources.shared import new_path, shared_dir, stored
+from vecspark.sources.shared import discard, new_path, shared_dir, stored
 
-__all__ = ["SPACE", "free", "input_bytes", "new_path", "parts_for", "shared_dir", "ship", "sliced", "stored", "text_bytes"]
+__all__ = ["SPACE", "discard", "free", "input_bytes", "new_path", "parts_for", "shared_dir", "ship", "sliced", "stored", "text_bytes"]
 
 #: Bytes of input for each partition of a shuffle that carries whole texts.
 PART_BYTES = 8 << 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import stored
+from vecspark.llm.common import discard, stored
 
 #: Rounds after which the loop gives up; each halves the depth of the trees, so that 40 are enough for any input.
 ROUNDS = 40
@@ -34,7 +34,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     Alternates two star operations until the links don't change. Each has one link for each node and neighbour at
     most, so that the table never grows beyond the first one, and a hub is spread: its least neighbour is found by
-    partial sums, and the join that brings it back splits a skewed key. Each round is written to the shared folder.
+    partial sums, and the join that brings it back splits a skewed key. Each round is written to the shared folder, and the one before it deleted.
     """
     now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     state = None
@@ -44,7 +44,9 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             break
         state = tuple(count)
         large = _towards_least(now).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        now = stored(_to_least_smaller(stored(large, name)), name)
+        middle = stored(large, name)
+        before, now = now, stored(_to_least_smaller(middle), name)
+        discard(before, middle)
     else:
         raise RuntimeError(f"components: no end after {ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
