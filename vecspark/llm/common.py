@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from vecspark.sources.shared import discard, new_path, shared_dir, stored
 
-__all__ = ["SPACE", "discard", "free", "input_bytes", "new_path", "parts_for", "shared_dir", "ship", "sliced", "stored", "text_bytes"]
+__all__ = ["SPACE", "discard", "free", "input_bytes", "new_path", "parts_for", "shared_dir", "ship", "sliced", "spread", "stored", "text_bytes"]
 
 #: Bytes of input for each partition of a shuffle that carries whole texts.
 PART_BYTES = 8 << 20
 
+#: Bytes of a file from which it is worth while to deal its rows over more tasks.
+SPREAD_BYTES = 4 << 20
+
 #: Code points that separate words: space and 0x09 to 0x0D. ``bytes.split()`` splits at just these.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,6 +42,17 @@ def parts_for(df: DataFrame, each: int = PART_BYTES) -> int:
     return max(least, min(200_000, input_bytes(df) // each + 1))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few files, which make fewer tasks than there are cores, dealt over all of them. Larger ones stay as they are."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, len(df.inputFiles())
+    if not 0 < files < cores:
+        return df
+    size = input_bytes(df)
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(2 * cores) if size > files * SPREAD_BYTES and size // most < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's sources to the executors once a context, for workers that lack the repository on their path."""
     sc = spark.sparkContext

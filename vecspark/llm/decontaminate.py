@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import ship, sliced, text_bytes
+from vecspark.llm.common import ship, sliced, spread, text_bytes
 
 GRAM = 3
 LEAST_SEEDS = 12
@@ -222,7 +222,7 @@ def indexed(docs: DataFrame, items: list):
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score and item_score (that of the item with itself) for each document that copies an item."""
     ship(docs.sparkSession)
-    out = None
+    docs, out = spread(docs.select("doc_id", "text")), None
     for items in blocks(benchmark):
         shared = indexed(docs, items)
 

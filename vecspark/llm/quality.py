@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import SPACE, stored
+from vecspark.llm.common import SPACE, spread, stored
 
 #: Fewer documents than this don't make a sketch that is used by itself.
 LEAST_DOCS = 50
@@ -181,12 +181,13 @@ def limits_of(measured: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed and kept, for every row of ``docs`` (doc_id, text, lang, source)."""
-    measured = stored(measure(docs.select("doc_id", "text", "lang", "source")), "quality")
+    measured = stored(measure(spread(docs.select("doc_id", "text", "lang", "source"))), "quality")
     return rejected(measured, limits_of(measured)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Measures are taken twice, so that no text is shuffled."""
+    docs = spread(docs)
     limits = limits_of(measure(docs))
     clash = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
     packed = docs.select("doc_id", "lang", "source", F.struct("text", *clash).alias("_row"), _measures(F.col("text")).alias("_m")).select("doc_id", "lang", "source", "_row", "_m.*")

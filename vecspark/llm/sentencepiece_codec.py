@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm.common import ship, sliced
+from vecspark.llm.common import ship, sliced, spread
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ()) -> D
             kept = [batch.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes[1:], pa.int64()), lists, pa.array(same)], ["doc_id", *keep, "n_tokens", "ids", "round_trip"])
 
-    columns = docs.select("doc_id", *keep, "text")
+    columns = spread(docs.select("doc_id", *keep, "text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields if f.name != "text")
     return columns.mapInArrow(run, f"{types}, n_tokens bigint, ids array<int>, round_trip boolean")
 

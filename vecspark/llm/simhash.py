@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import free, ship, sliced, stored, text_bytes
+from vecspark.llm.common import free, ship, sliced, spread, stored, text_bytes
 from vecspark.llm.components import components
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 4, 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return spread(docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def masks(radius: int, blocks: int) -> list[int]:
