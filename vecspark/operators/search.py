@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import vectors as V
 from vecspark.functions.vectors import Metric
+from vecspark.sources.shared import ship
 
 #: Vectors of queries that are broadcast at a time.
 BLOCK_BYTES = 16 << 20
@@ -109,6 +110,7 @@ def query_blocks(queries: DataFrame, columns: tuple[str, ...] = ("vec",)) -> Ite
 
 def blockwise(base: DataFrame, blocks, task: Callable, schema: str) -> DataFrame:
     """The union over query blocks of ``task(block, batches)`` on the partitions of ``base``."""
+    ship(base.sparkSession)
     sc, out = base.sparkSession.sparkContext, None
     for block in blocks:
         shared = sc.broadcast(block)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vecspark.functions import vectors as V
 from vecspark.operators import search as S
 from vecspark.operators.search import Best, blockwise, hamming_matrix, ranked, word_blocks, words_matrix
+from vecspark.sources.shared import ship
 
 
 def binary_centroids(base: DataFrame, d: int, nlist: int, seed: int = 1234) -> np.ndarray:
@@ -24,6 +25,7 @@ def binary_centroids(base: DataFrame, d: int, nlist: int, seed: int = 1234) -> n
 
 def ivf_add(base: DataFrame, centroids: np.ndarray) -> DataFrame:
     """list_no, id, words: each row in the list of the nearest centroid, the first of equals."""
+    ship(base.sparkSession)
     shared = base.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):

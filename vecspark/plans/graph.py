@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.operators.search import FOUND, Best, Metric, distances, matrix, query_blocks, ranked
+from vecspark.sources.shared import ship
 
 #: Rows of a shard, about.
 SHARD_ROWS = 20_000
@@ -22,6 +23,7 @@ EDGES = "shard int, level int, src bigint, dst bigint"
 
 def sharded(base: DataFrame, shards: int | None = None) -> DataFrame:
     """id, vec, shard."""
+    ship(base.sparkSession)
     n = shards or max(1, -(-base.count() // SHARD_ROWS))
     rows = base.where("vec IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))

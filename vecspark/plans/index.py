@@ -21,6 +21,7 @@ from vecspark.operators.search import Best, Metric, blockwise, distances, matrix
 from vecspark.plans.codecs import Flat, Product
 from vecspark.plans.kmeans import MAX_POINTS, KMeans, nearest, rows_of, sample
 from vecspark.plans.transforms import chained
+from vecspark.sources.shared import ship
 
 #: Rows of the sample that models are trained on, at most, beside MAX_POINTS for each centroid.
 TRAIN_ROWS = 65_536
@@ -93,6 +94,7 @@ class VectorIndex:
 
     def encode(self, df: DataFrame) -> DataFrame:
         """list_no, id, code of each row of ``df`` (id, vec) that has a vector without NaN."""
+        ship(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self._model())
 
         def run(batches):
@@ -124,6 +126,7 @@ class VectorIndex:
 
     def decode(self, codes: DataFrame) -> DataFrame:
         """id, vec: what codes (list_no, id, code) stand for, transforms taken back where they can be."""
+        ship(codes.sparkSession)
         shared = codes.sparkSession.sparkContext.broadcast(self._model())
 
         def run(batches):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.operators.search import CELLS, Metric, distances, matrix
+from vecspark.sources.shared import ship
 
 #: Points of a training set by centroid: more are sampled, fewer bring a warning.
 MAX_POINTS, MIN_POINTS = 256, 39
@@ -138,6 +139,7 @@ class KMeans:
 
 def assigned(df: DataFrame, centroids: np.ndarray, metric: Metric = Metric.L2) -> DataFrame:
     """``df`` with list_no, the number of the nearest centroid, and cd, its distance. No shuffle."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64))
 
     def run(batches):
@@ -153,6 +155,7 @@ def assigned(df: DataFrame, centroids: np.ndarray, metric: Metric = Metric.L2) -
 
 def cluster_sums(df: DataFrame, centroids: np.ndarray, metric: Metric = Metric.L2) -> DataFrame:
     """list_no, n, objective and the sums s0, s1, ... of each cluster's vectors: one pass, summed up in each task."""
+    ship(df.sparkSession)
     shared, (k, d) = df.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64)), centroids.shape
 
     def run(batches):

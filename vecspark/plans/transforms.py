@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vecspark.operators.search import matrix
 from vecspark.plans.codecs import Product
+from vecspark.sources.shared import ship
 
 
 @dataclass
@@ -95,6 +96,7 @@ class PCA(Linear):
 
 def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Number, mean and covariance of all vectors of a table: d + d * d sums, taken in each task and then added up."""
+    ship(df.sparkSession)
     d = df.where("vec IS NOT NULL").agg(F.max(F.size("vec"))).first()[0] or 0
 
     def run(batches):
@@ -240,6 +242,7 @@ def chained(x: np.ndarray, chain: list) -> np.ndarray:
 
 def transformed(df: DataFrame, chain: list, reverse: bool = False) -> DataFrame:
     """``df`` (with vec) through a chain of transforms, or back."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(chain)
     names = df.columns
 

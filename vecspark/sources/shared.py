@@ -1,9 +1,12 @@
-"""Tables in the folder that the driver and the executors share."""
+"""What the driver and the executors share: a folder of tables, and this package's sources."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +40,22 @@ def discard(*tables: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         at = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors once a context, for workers that lack the repository on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vecspark_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for at, _, names in os.walk(os.path.join(top, "vecspark")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), top))
+    path = os.path.join(tempfile.mkdtemp(prefix="vecspark-"), "vecspark_sources.zip")
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    sc.addPyFile(path)
+    sc._vecspark_shipped = True
