@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.sources.shared import discard, new_path, shared_dir, stored
+from vecspark.sources.shared import discard, new_path, shared_dir, ship, stored
 
 __all__ = ["SPACE", "discard", "free", "input_bytes", "new_path", "parts_for", "shared_dir", "ship", "sliced", "spread", "stored", "text_bytes"]
 
@@ -53,25 +49,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if size > files * SPREAD_BYTES and size // most < cores else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors once a context, for workers that lack the repository on their path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_vecspark_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for at, _, names in os.walk(os.path.join(top, "vecspark")):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), top))
-    path = os.path.join(tempfile.mkdtemp(prefix="vecspark-"), "vecspark_sources.zip")
-    with open(path, "wb") as f:
-        f.write(data.getvalue())
-    sc.addPyFile(path)
-    sc._vecspark_shipped = True
-
-
 def free(name: str, df: DataFrame) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
