@@ -402,6 +402,19 @@ def test_edited_copies_are_found_and_clean_documents_left(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_a_single_copy_with_spread_edits_is_found(spark):
+    """Each item has one copy, whose edits leave only 3-grams that are as frequent as any or more."""
+    edits = [lambda k, w: [f"e{k}"] if k % 4 == 3 else [w], lambda k, w: [f"e{k}"] if k % 5 == 4 else [w], lambda k, w: [f"e{k}"] if k % 6 == 5 else [w], lambda k, w: [w, f"e{k}"] if k % 3 == 2 else [w], lambda k, w: [w, *[f"e{x}" for x in range(25)]] if k == 20 else [w], lambda k, w: [w] if k < 22 else []]
+    items = [[f"s{n}w{k}" for k in range(45)] for n in range(len(edits))]
+    texts = [" ".join(x for k, w in enumerate(words) for x in edit(k, w)) for words, edit in zip(items, edits, strict=True)]
+    docs = frame(spark, [f"some words before {t} and after" for t in texts] + ["some words before and after"])
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id bigint, text string")
+    want = {(n, n): slow_alignment([k + 1 for k in range(45)], [int(x.split("w")[1]) + 1 if x[0] == "s" else 0 for x in t.split()]) for n, t in enumerate(texts)}
+    assert min(want.values()) >= decontaminate.LEAST_SCORE * 2 * 45
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.decontaminate(docs, benchmark).collect()} == want
+    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [len(items)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.decontaminate(docs, benchmark).collect()))

@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared lower-cased and without punctuation at their ends. A first pass counts, over all documents, the
-word 3-grams of the benchmark's items; each item's seeds are the rarer half of its 3-grams, ``LEAST_SEEDS`` at least.
-A second pass finds the seeds in the documents. Seeds of one item on nearby diagonals (place in the document less
-place in the item) make a region, and the item is aligned with it by Smith-Waterman over words (match 2, other -1, gap
--1 a word), many regions at a time. A document is a copy of an item if the alignment scores ``LEAST_SCORE`` of the
-item's own score at least (and for short items ``SHORT``).
+Words are compared lower-cased and without punctuation at their ends. Every word 3-gram of an item is a seed, however
+frequent it is. Seeds of one item on nearby diagonals (place in the document less place in the item) make a region, as
+wide as the gaps of an alignment that reaches the needed score can make it. Regions that have too few words in common
+with the item, in any order, for that score are left out, which loses none; with the others the item is aligned by
+Smith-Waterman over words (match 2, other -1, gap -1 a word), many regions at a time. A document is a copy of an item
+if the alignment scores ``LEAST_SCORE`` of the item's own score at least (and for short items ``SHORT``). So each
+alignment of that score that matches three words in a row is found; copies without three words in a row are not.
 
 The benchmark is the stated query set: it is taken in blocks of about ``BLOCK`` items, so that what is broadcast has
 a bound; documents are never shuffled, collected or paired with each other.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import ship, sliced, spread, text_bytes
 
 GRAM = 3
-LEAST_SEEDS = 12
 LEAST_SCORE = 0.4
 #: Items of few words need this score for each word, as long as it is less than SHORT_SCORE.
 SHORT, SHORT_SCORE = 1.2, 14
@@ -86,6 +86,11 @@ class Index:
         self.place_gram, self.place_item, self.place_at = (np.array([x[k] for x in places], np.int64) for k in range(3))
         self.table, self.first = np.unique(self.place_gram, return_index=True)
         self.first = np.append(self.first, len(places))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        #: Score that a copy needs, and the gaps that an alignment of that score has at most.
+        self.need = np.maximum(LEAST_SCORE * MATCH * self.sizes, np.minimum(SHORT_SCORE, SHORT * self.sizes))
+        self.slack = np.floor(MATCH * self.sizes - self.need).astype(np.int64)
+        self.word, self.times = np.unique(np.concatenate([np.full(n, i) * self.base + w for i, (n, w) in enumerate(zip(self.sizes, self.words, strict=True))] or [np.zeros(0, np.int64)]), return_counts=True)
 
     def grams(self, words: np.ndarray) -> np.ndarray:
         """Codes of the 3-grams that start at each word; 0 where one of the words isn't in the vocabulary."""
@@ -104,18 +109,6 @@ class Index:
         own = self.table[k] == grams[at]
         return at[own], k[own]
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Drops the places that aren't seeds: for each item the rarer half of its 3-grams stays."""
-        gram = np.searchsorted(self.table, self.place_gram)
-        keep = np.zeros(len(gram), bool)
-        for rows in np.split(np.argsort(self.place_item, kind="stable"), np.flatnonzero(np.diff(np.sort(self.place_item))) + 1):
-            if len(rows):
-                order = rows[np.lexsort((self.place_at[rows], counts[gram[rows]]))]
-                keep[order[: max(LEAST_SEEDS, len(rows) // 2)]] = True
-        self.place_gram, self.place_item, self.place_at = self.place_gram[keep], self.place_item[keep], self.place_at[keep]
-        self.table, self.first = np.unique(self.place_gram, return_index=True)
-        self.first = np.append(self.first, len(self.place_gram))
-
 
 def read(numbers: Numbers, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words of all texts, with three zeros after each, and where each text begins."""
@@ -159,6 +152,25 @@ def align(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shared_words(index: Index, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many words each region ``words[low:high]`` has in common with its item, in any order: no alignment matches more."""
+    out = np.zeros(len(item), np.int64)
+    ends = np.cumsum(high - low)
+    at = 0
+    while at < len(item):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, "right")))
+        n = (high - low)[at:end]
+        region = np.repeat(np.arange(at, end), n)
+        own = words[np.arange(n.sum()) + np.repeat(low[at:end] - np.cumsum(n) + n, n)]
+        key = item[region] * index.base + own
+        k = np.minimum(np.searchsorted(index.word, key), len(index.word) - 1)
+        fits = (own > 0) & (index.word[k] == key)
+        pair, times = np.unique(region[fits] * len(index.word) + k[fits], return_counts=True)
+        np.add.at(out, pair // len(index.word), np.minimum(times, index.times[pair % len(index.word)]))
+        at = end
+    return out
+
+
 def copies(index: Index, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(text, item, score) of the texts that copy an item; the best score of each text and item."""
     at, gram = index.found(words)
@@ -170,17 +182,17 @@ def copies(index: Index, words: np.ndarray, starts: np.ndarray) -> list[tuple[in
     diagonal, text = at - index.place_at[rows], np.searchsorted(starts, at, "right") - 1
     order = np.lexsort((diagonal, item, text))
     text, item, diagonal = text[order], item[order], diagonal[order]
-    sizes = np.array([len(w) for w in index.words])
-    slack = np.maximum(8, sizes // 4)
     new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[item[1:]])
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > index.slack[item[1:]])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(text)) - 1
     t, i = text[first], item[first]
-    low = np.maximum(starts[t], diagonal[first] - slack[i])
-    high = np.minimum(starts[t + 1] - GRAM, diagonal[last] + sizes[i] + slack[i])
+    low = np.maximum(starts[t], diagonal[first] - index.slack[i])
+    high = np.minimum(starts[t + 1] - GRAM, diagonal[last] + index.sizes[i] + index.slack[i])
+    able = np.flatnonzero(MATCH * shared_words(index, words, i, low, high) >= index.need[i])
+    t, i, low, high = t[able], i[able], low[able], high[able]
     score = align([index.words[k] for k in i], [words[a:b] for a, b in zip(low, high, strict=True)])
-    need = np.maximum(LEAST_SCORE * MATCH * sizes[i], np.minimum(SHORT_SCORE, SHORT * sizes[i]))
+    need = index.need[i]
     best: dict[tuple[int, int], int] = {}
     for a, b, s in zip(t[score >= need].tolist(), i[score >= need].tolist(), score[score >= need].tolist(), strict=True):
         best[a, b] = max(s, best.get((a, b), 0))
@@ -196,35 +208,12 @@ def blocks(benchmark: DataFrame) -> Iterator[list]:
         yield sorted(map(tuple, part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
 
 
-def indexed(docs: DataFrame, items: list):
-    """The broadcast index of a block, its seeds chosen by their counts over all documents."""
-    spark = docs.sparkSession
-    index = Index(items)
-    shared = spark.sparkContext.broadcast(index)
-
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        own = shared.value
-        numbers, total = Numbers(own.vocabulary), np.zeros(len(own.table), np.int64)
-        for batch in sliced(batches):
-            total += np.bincount(own.found(read(numbers, text_bytes(batch.column("text")))[0])[1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    counts = np.zeros(len(index.table), np.int64)
-    for g, n in docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n")).collect():  # at most the block's 3-grams
-        counts[g] = n
-    index.keep_rare(counts)
-    return spark.sparkContext.broadcast(index)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score and item_score (that of the item with itself) for each document that copies an item."""
     ship(docs.sparkSession)
     docs, out = spread(docs.select("doc_id", "text")), None
     for items in blocks(benchmark):
-        shared = indexed(docs, items)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
         def run(batches: Iterator, shared=shared) -> Iterator:
             import pyarrow as pa
@@ -247,7 +236,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that copy no item of ``benchmark``, with all their columns. No shuffle."""
     ship(docs.sparkSession)
     for items in blocks(benchmark):
-        shared = indexed(docs, items)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
         def run(batches: Iterator, shared=shared) -> Iterator:
             import pyarrow as pa
