@@ -353,6 +353,22 @@ def test_rules_take_whole_statements_first(spark):
     assert got == {0: "MIT", 1: "", 2: "BSD-2-Clause", 3: "Apache-2.0", 4: "", 5: "", 6: "", 7: "CC0-1.0,GPL-3.0"}
 
 
+@pytest.mark.parametrize("mark", ["", "// ", "# ", " * ", "-- "])
+@pytest.mark.parametrize("end", ["\n", "\r\n", " \n"])
+def test_wrapped_licences_are_found(spark, mark, end):
+    import textwrap
+
+    def notice(seq):
+        return end.join((mark + line).rstrip(" ") if not line else mark + line for k in seq for line in textwrap.wrap(license_scan.SENTENCES[k], 72))
+
+    rules = [r for r in license_scan.RULES if len(r[1]) > 1]
+    texts = [f"Copyright 2020{end}{end}{notice(seq)}{end}{end}code" for _, seq in rules]
+    first, *rest = textwrap.wrap(license_scan.SENTENCES["mit-notice"], 72)
+    apart = [f"{first}{end}{mark.rstrip(' ')}{end}{end.join(rest)}", f"We say: not {first}{end}{end.join(rest)}", f"{first}{end}{end.join(rest)[:-1]} and more"]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in license_scan.license_scan(frame(spark, texts + apart)).collect()}
+    assert got == {i: (",".join(seq), name) for i, (name, seq) in enumerate(rules)} | {len(rules) + i: ("", "") for i in range(len(apart))}
+
+
 def test_native_operators_run_no_python(spark):
     from vecspark.llm import quality
 

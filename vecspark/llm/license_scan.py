@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
 Each text is cut into sentences, each sentence normalised (lower case, runs of other characters than letters and
-digits as one space) and looked up among the known licence sentences, which gives the text's sequence of sentence
+digits as one space, which takes comment marks off) and looked up among the known licence sentences, by itself and
+joined with those after it up to a blank line, since licences are wrapped. This gives the text's sequence of sentence
 identifiers. Licence rules, tried in order, are sequences of identifiers; a rule matches where its identifiers follow
 each other in the text's sequence (licence sentences only: other sentences between them are passed over). What an
 earlier rule matched is taken out before the next rule is tried, so that a part of a licence isn't reported again.
@@ -80,14 +81,21 @@ def sentences(text: Column) -> Column:
 
 
 def identifiers(text: Column, known: dict[str, str] | None = None) -> Column:
-    """The known sentences of a text, by identifier, in order."""
+    """The known sentences of a text, by identifier, in order; of those that begin at one place the longest.
+
+    The normalised pieces that ``sentences`` cuts are put between bars. A known sentence begins and ends at a bar and
+    may have one bar in place of any blank, so that it is found when wrapped, but not across a blank line.
+    """
     known = KNOWN if known is None else known
-    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.lit(None).cast("map<string,string>")
-    # the first letters of known sentences: a cheap test that few other sentences pass
-    starts = "^[^A-Za-z0-9]*(?i:" + "|".join(sorted({re.escape(k.split(" ")[0]) for k in known})) + ")(?![A-Za-z0-9])"
-    likely = F.filter(sentences(text), lambda s: s.rlike(starts))
-    plain = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+    if not known:
+        return F.array().cast("array<string>")
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    # no empty piece where a line ends in blanks: that is no blank line
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), "([.!?:])[ \\t]+(?=[^ \\t\r\n])", "$1\n")
+    plain = F.regexp_replace(F.translate(cut, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9\n]+", " ")
+    pieces = F.concat(F.lit("|"), F.regexp_replace(plain, "^ | $| ?\n ?", "|"), F.lit("|"))
+    any_known = "(?<=\\|)(?:" + "|".join(k.replace(" ", "[ |]") for k in sorted(known, key=len, reverse=True)) + ")(?=\\|)"
+    return F.transform(F.regexp_extract_all(pieces, F.lit(any_known), F.lit(0)), lambda s: F.element_at(table, F.translate(s, "|", " ")))
 
 
 def licences(ids: Column, rules=RULES) -> Column:
