@@ -113,6 +113,20 @@ def test_indexes_find_nine_of_ten(spark, text):
     assert intersection(found, S.knn(queries, base, 10), 10).first()[0] >= 0.9
 
 
+@pytest.mark.parametrize(("name", "metric"), [("index_flat", S.Metric.L2), ("index_ivf_flat", S.Metric.L2), ("index_ivf_inner_product", S.Metric.INNER_PRODUCT)])
+def test_registered_indexes_find_nine_of_ten(spark, name, metric):
+    """As registered, with no settings of the test's own."""
+    import vecspark.queries  # noqa: F401
+    from vecspark import registry
+
+    sf = "/root/testdata/sf0.1"
+    base = T.floats(spark, sf)
+    truth = S.knn(T.as_queries(base), base, 10, metric=metric).cache()
+    found = registry.queries()[name](spark, sf).cache()
+    for d in sorted(r[0] for r in found.select("index_name").distinct().collect()):
+        assert intersection(found.where(F.col("index_name") == d), truth, 10).first()[0] >= 0.9, d
+
+
 @pytest.mark.parametrize("kind", ["hnsw", "nsg", "descent"])
 def test_graphs_find_nine_of_ten(spark, kind):
     base = T.floats(spark, SF)

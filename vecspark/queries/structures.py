@@ -41,8 +41,8 @@ def _indexes(name: str, *descriptions: str, metric: Metric = Metric.L2, nprobe:
 
 
 _indexes("flat", "Flat", "Flat,IDMap")
-_indexes("ivf_flat", "IVF16,Flat", "IVF16,FlatDedup", "IVF16_HNSW32,Flat", "IVF16_NSG32,Flat")
-_indexes("ivf_inner_product", "IVF16,Flat", "IVF16,SQ8", metric=Metric.INNER_PRODUCT)
+_indexes("ivf_flat", "IVF16,Flat", "IVF16,FlatDedup", "IVF16_HNSW32,Flat", "IVF16_NSG32,Flat", nprobe=12)
+_indexes("ivf_inner_product", "IVF16,Flat", "IVF16,SQ8", metric=Metric.INNER_PRODUCT, nprobe=12)
 _indexes("ivfpq", "IVF16,PQ16x6", "IVF16,PQ16x6,RFlat", "IVF16,PQ8x6,Refine(SQ8)")
 _indexes("scalar", "SQ8", "SQ6", "SQ4", "SQfp16", "IVF16,SQ8")
 _indexes("product", "PQ16x6", "PQ32x4fs", "IVF16,PQ32x4fs,RFlat")
