@@ -1,19 +1,24 @@
 """Main text of web pages by two passes over their blocks.
 
-Blocks are runs of text between block-level tags. The first pass decides a block from its link density, its length
-and its density of stop words, and from the elements that hold it: menus, page headers and footers, sidebars,
-notices, adverts, forms and reader comments are boilerplate by tag, role, class or id. Blocks that stay undecided,
-mostly short ones, inherit in the second pass the label of the nearest decided neighbours in the same region, which
-is the innermost article, main or boilerplate element; an article without a decided block is text.
-
-Defined results: a null or empty page has an empty text and 0 characters; unclosed elements, comments and scripts end
-where a parent or the page ends; each row gets a row, repeated or null ids too; an empty table gives no rows; other
-columns of the input aren't returned. Whole pages are processed, of any length.
+A scanner reads the page once, from tag to tag, and matches end tags to elements. Blocks are runs of text between
+block-level tags. The first pass decides a block from its link density, its length and its density of stop words, and
+from the elements that hold it: menus, page headers and footers, sidebars, notices, adverts, forms and reader comments
+are boilerplate by tag, role, class or id; an article or main element is text, links or not, but for such parts of it.
+Blocks that stay undecided, mostly short ones, inherit in the second pass the label of the nearest decided neighbours in
+the same region, which is the innermost article, main or boilerplate element. Text beside an article that is at
+least as long belongs to no article and goes.
+
+Defined results: a null or empty page has an empty text and 0 characters; elements without an end tag end where a parent
+or the page ends, and those whose contents are skipped (svg, video, object) have none then; self-closing elements end at once;
+comments and scripts without an end take the rest of the page, as in browsers, a tag without its ``>`` too; each
+row gets a row, repeated or null ids too; an empty table gives no rows; other columns of the input aren't returned.
+Whole pages are processed; time is linear in their length, whatever they hold.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,25 +38,35 @@ STOP_WORDS = frozenset(
 
 #: Elements that start and end a block.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose contents are no text of the page.
-SKIPPED = "script|style|template|noscript|svg|math|textarea|iframe|object|canvas|audio|video|title|head(?!er)"
+#: Elements that hold no other elements, and those that hold text up to their end tag only.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
+#: Elements, beside those, whose contents are no text of the page.
+SKIPPED = frozenset("head template svg math object canvas audio video".split())
+#: Elements that end where the next of their kind begins.
+ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
 #: Elements and roles that hold boilerplate, and parts of class names and ids that say so.
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select fieldset".split())
+FIRM_TAGS = BAD_TAGS - {"form", "fieldset"} | {"header"}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|masthead|sidebar|side|aside|widget\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w*|"
     r"comments?|commentlist|replies|reply|respond|disqus|discussion|feedback|share\w*|sharing|social|related|recommend\w*|login|signup|signin|search\w*|pagination|pager|tags|copyright|disclaimer|toolbar|skip)(?=$|[\s_-])",
     re.I,
 )
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*))?)*)[^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
-#: A head without its end: up to the body.
-HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*)))?", re.I)
+#: Elements that a single paragraph is in, and the names that make one of them boilerplate.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption".split())
+BAD_PARAGRAPHS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|copyright|disclaimer)(?=$|[\s_-])", re.I)
+#: Names of a reader's comment, which may be an article in an article.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|disqus)(?=$|[\s_-])", re.I)
+#: Names that tell of a layout, as no-sidebar or has-menu.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without)[_-]\S+", re.I)
+HIDDEN = re.compile(r"display\s{0,9}:\s{0,9}none|visibility\s{0,9}:\s{0,9}hidden", re.I)
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The end of a tag, or its next attribute. Nothing in it can match in two ways, so that it never tries again.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Characters of a block from which its stop words decide, and from which their lack does.
@@ -62,76 +77,190 @@ DENSE, SPARSE = 0.12, 0.03
 LINKS = 0.5
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds boilerplate; an article's own header is part of it."""
-    if tag in BAD_TAGS or tag == "header" and not in_article:
+def scan(page: str) -> list:
+    """The page as a list: its texts, and (name, kind, attributes) of its tags; kind is "start", "end" or "empty"."""
+    out: list = []
+    missing: set[str] = set()  # elements without a further end tag
+    at, size = 0, len(page)
+    while at < size:
+        tag = page.find("<", at)
+        if tag < 0:
+            out.append(page[at:])
+            break
+        if tag > at:
+            out.append(page[at:tag])
+        after = page[tag + 1 : tag + 2]
+        if after in ("!", "?"):
+            comment = page.startswith("<!--", tag)
+            end = page.find("-->", tag + 2) if comment else page.find(">", tag)
+            at = end + (3 if comment else 1) if end >= 0 else size
+            continue
+        ending = after == "/"
+        named = NAME.match(page, tag + 1 + ending)
+        if not named:
+            if ending:  # a comment too
+                end = page.find(">", tag)
+                at = end + 1 if end >= 0 else size
+            else:
+                out.append("<")
+                at = tag + 1
+            continue
+        name, at, attributes = named[0].lower(), named.end(), {}
+        slash = False
+        while True:
+            m = ATTRIBUTE.match(page, at)
+            if not m:
+                return out  # a tag without its end
+            slash = m[1] is not None and m.start(1) > at and page[m.start(1) - 1] == "/"
+            at = m.end()
+            if m[1]:
+                break
+            attributes.setdefault(m[2].lower(), m[3] or m[4] or m[5] or "")
+        if ending:
+            out.append((name, "end", None))
+        elif name in RAW and not (slash and name != "script"):
+            end = None if name in missing else ENDS[name].search(page, at)
+            if end:
+                at = end.start()
+            elif name in ("script", "style"):
+                break
+            else:
+                missing.add(name)
+        else:
+            out.append((name, "empty" if slash or name in VOID else "start", attributes))
+    return out
+
+
+def extents(tokens: list) -> dict[int, tuple[int, bool]]:
+    """For each element that is a block or skipped: where it ends, and whether by its own end tag."""
+    out: dict[int, tuple[int, bool]] = {}
+    stack: list[int] = []
+    open_: Counter = Counter()
+
+    def close(at: int, own: bool) -> None:
+        first = stack.pop()
+        open_[tokens[first][0]] -= 1
+        out[first] = at, own
+
+    for i, token in enumerate(tokens):
+        if isinstance(token, str):
+            continue
+        name, kind, _ = token
+        if name not in BLOCK_TAGS and name not in SKIPPED:
+            continue
+        if kind == "end":
+            if open_[name]:
+                while tokens[stack[-1]][0] != name:
+                    close(i, False)
+                close(i, True)
+            continue
+        if name in BLOCK_TAGS:  # ends paragraphs, and a head
+            while stack and tokens[stack[-1]][0] in ("p", "head"):
+                close(i, tokens[stack[-1]][0] == "head")
+        while stack and tokens[stack[-1]][0] in ENDED_BY.get(name, ()):
+            close(i, False)
+        if kind == "start":
+            stack.append(i)
+            open_[name] += 1
+    while stack:
+        close(len(tokens), False)
+    return out
+
+
+def boilerplate(tag: str, attributes: dict[str, str], kind: str) -> bool:
+    """Whether an element holds boilerplate; an article's own header is part of it, and articles are never so by name."""
+    if tag in BAD_TAGS or tag == "header" and kind != "article":
         return True
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name == "role" and value.lower() in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and BAD_NAMES.search(value):
-            return True
-    return False
+    if not attributes:
+        return False
+    if attributes.get("role", "").lower() in BAD_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attributes.get("style", "")):
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    names = LAYOUT.sub("", f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    if tag == "article":
+        return kind == "article" and bool(COMMENTS.search(names))
+    return bool((BAD_PARAGRAPHS if tag in PARAGRAPHS else BAD_NAMES).search(names))
 
 
 def blocks(page: str) -> list[tuple[str, float, int, str]]:
-    """(text, share of characters in links, region, kind of region: "article", "bad" or "page") of each block."""
+    """(text, share of characters in links, region, kind of region: "article", "bad" or "page") of each block.
+
+    An article in a box of boilerplate is boilerplate, unless the page has no other: then the box has no end tag, or its name misleads.
+    """
+    tokens = scan(page)
+    ends = extents(tokens)
+    found, articles = _walk(tokens, ends, False)
+    return _walk(tokens, ends, True)[0] if articles == {"inner"} else found
+
+
+def _walk(tokens: list, ends: dict[int, tuple[int, bool]], lift: bool) -> tuple[list[tuple[str, float, int, str]], set[str]]:
+    """The blocks; and whether there are articles "outer" and "inner" to boilerplate; ``lift`` takes the latter as such."""
     out: list[tuple[str, float, int, str]] = []
     text: list[str] = []
-    linked = links = 0
-    stack: list[tuple[str, int, str]] = []
-    regions, region, kind = 1, 0, "page"
-    holder, told = "", False  # what holds boilerplate; whether an article has begun
+    linked = links = skipped = 0
+    articles: set[str] = set()
+    stack: list[tuple[int, int, str, bool]] = []  # where each region ends, and what holds before it
+    regions, region, kind, firm = 1, 0, "page", False  # firm: boilerplate whatever is in it
 
     def flush() -> None:
         nonlocal linked
-        raw = unescape("".join(text))
+        raw = "".join(text)
         if found := " ".join(raw.split()):
             out.append((found, linked / max(1, len(raw)), region, kind))
         text.clear()
         linked = 0
 
-    head = HEAD.search(page)
-    page = page[: head.start()] + page[head.end() :] if head else page
-    for m in TOKEN.finditer(page):
-        if m[5]:
-            text.append(m[5])
-            linked += len(m[5]) if links else 0
+    for i, token in enumerate(tokens):
+        if i < skipped:
             continue
-        tag = (m[3] or "").lower()
+        if stack and stack[-1][0] <= i:
+            flush()
+            while stack and stack[-1][0] <= i:
+                _, region, kind, firm = stack.pop()
+        if isinstance(token, str):
+            token = unescape(token) if "&" in token else token
+            text.append(token)
+            linked += len(token) if links else 0
+            continue
+        tag, way, attributes = token
         if tag == "br":
             text.append(" ")
         elif tag == "a":
-            links = 0 if m[2] else 1
+            links = 1 if way == "start" else 0
+        elif tag in SKIPPED and way == "start":
+            end, closed = ends[i]
+            if closed:
+                skipped = end
+                if tag == "head":
+                    flush()
         elif tag in BLOCK_TAGS:
             flush()
-            links = 0 if m[2] or tag in ("p", "li", "div") else links
-            if m[2]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        _, region, kind = stack[i]
-                        del stack[i:]
-                        break
-            elif tag not in ("hr", "p", "body", "html"):
-                stack.append((tag, region, kind))
-                bad = boilerplate(tag, m[4], kind == "article")
-                if bad:
-                    if kind != "bad":
-                        region, kind, regions, holder = regions, "bad", regions + 1, tag
-                elif tag == "main" or tag == "article" and (kind != "bad" or not told and holder not in BAD_TAGS):
-                    region, kind, regions, told = regions, "article", regions + 1, True  # also out of an unclosed box before it
-            elif tag == "p" and kind != "bad" and m[4] and boilerplate(tag, m[4], kind == "article"):
-                stack.append((tag, region, kind))
-                region, kind, regions, holder = regions, "bad", regions + 1, tag
+            links = 0 if way != "start" or tag in ("p", "li", "div") else links
+            if way != "start":
+                continue
+            own = None
+            if boilerplate(tag, attributes, kind):
+                own = "bad" if kind != "bad" else None
+            elif tag in ("main", "article"):
+                if kind != "bad":
+                    articles.add("outer")
+                    own = "article"
+                elif not firm:
+                    articles.add("inner")
+                    own = "article" if lift else None
+            if own:
+                stack.append((ends[i][0], region, kind, firm))
+                firm = own == "bad" and (ends[i][1] and tag in FIRM_TAGS or bool(COMMENTS.search(f"{attributes.get('class', '')} {attributes.get('id', '')}")))
+                region, kind, regions = regions, own, regions + 1
     flush()
-    return out
+    return out, articles
 
 
 def first_pass(block: tuple[str, float, int, str]) -> bool | None:
     """True for text, False for boilerplate, None where the rules don't decide."""
     text, links, _, kind = block
-    if kind == "bad" or links > LINKS:
+    if kind == "bad" or kind == "page" and links > LINKS:
         return False
     if len(text) < LONG:
         return False if kind == "page" and ("\xa9" in text or "copyright" in text.lower()) else None
@@ -171,7 +300,8 @@ def second_pass(found: list[tuple[str, float, int, str]], labels: list[bool | No
             else:
                 label = all(sides) if sides else bool(page_before[i] and page_after[i])
         out.append(label)
-    return out
+    size = {k: sum(len(b[0]) for b, label in zip(found, out, strict=True) if label and b[3] == k) for k in ("article", "page")}
+    return [label and (b[3] == "article" or size["article"] < size["page"]) for b, label in zip(found, out, strict=True)]
 
 
 def main_text(page: str | None) -> str:
