@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import decontaminate, quality, sentencepiece_codec, simhash, substring
+from vecspark.llm import decontaminate, near_copies, quality, sentencepiece_codec, substring
 from vecspark.llm.common import new_path
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least doc_id."""
-    return simhash.without_copies(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of least doc_id."""
+    return near_copies.without_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

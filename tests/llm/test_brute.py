@@ -149,7 +149,7 @@ def test_simhash_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.simhash(docs).collect()) == want
 
 
-@pytest.mark.parametrize(("cell", "blocks"), [(16_384, 4), (16_384, 5), (8, 4)])
+@pytest.mark.parametrize(("cell", "blocks"), [(16_384, 4), (16_384, 5), (8, 4), (2, 4)])
 def test_links_of_near_fingerprints(spark, monkeypatch, cell, blocks):
     """Chains of near fingerprints, also when cells are dealt by bands."""
     rng = np.random.default_rng(3)
@@ -167,12 +167,6 @@ def test_links_of_near_fingerprints(spark, monkeypatch, cell, blocks):
     assert [roots.get(i, i) for i in range(len(fps))] == [want[f] for f in fps]
 
 
-def test_without_copies_keeps_one_of_each_group(spark):
-    docs = frame(spark, ["one two three four five", "one two three four five", "other words are in this text", None]).withColumn("_copy", F.lit(1))
-    kept = simhash.without_copies(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
-
-
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components_of_any_links(spark, links):

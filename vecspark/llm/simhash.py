@@ -1,36 +1,42 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 A text's fingerprint has a bit set where over half of the hashes of its word shingles have it. Two fingerprints link
-at ``radius`` or fewer differing bits. Equal fingerprints are one node, named by its least document id, before
-anything is compared. Of ``blocks`` parts of the 64 bits, two linked fingerprints agree on all but ``radius`` parts,
-so that each node goes to one cell for every choice of ``blocks - radius`` parts; cells hold all links, and each link
-is found by exact comparison: a cell's fingerprints, sorted by population count, are cut into tiles, and numpy's
-exclusive-or and bit counts compare all pairs of two tiles, unless their population counts differ by more than the
-radius. Cells larger than ``CELL`` are dealt over tasks by pairs of bands of population counts. A task
-passes on a spanning forest of the links it finds, not all pairs; components are joined by ``components``.
-
-4 blocks suit up to about 10^8 distinct fingerprints, 5 blocks 10^10 (10 cells each of 2^25), 6 blocks more.
+at ``radius`` or fewer differing bits. Equal fingerprints are one node before anything is compared. Of ``blocks``
+parts of the 64 bits, two linked fingerprints agree on all but ``radius`` parts, so that each node goes to one cell for
+every choice of ``blocks - radius`` parts; cells hold all links, and each link is found by exact comparison: a cell's
+fingerprints, sorted by population count, are cut into tiles, and numpy's exclusive-or and bit counts compare all
+pairs of two tiles, unless their population counts differ by more than the radius. Cells larger than ``CELL`` are dealt
+to smaller ones in the same way: two linked fingerprints of a cell agree on one of ``radius + 1`` parts of the bits that
+the cell leaves open. What is still larger is dealt over tasks by pairs of bands of population counts. A task passes
+on a spanning forest of the links it finds, not all pairs; components are joined by ``components``, and named by their least
+document id at last.
+
+4 blocks suit up to about 10^11 distinct fingerprints: cells of 10^11 / 2^16 are dealt to parts of 2^12 times less.
 
 Defined results: a null text has no words, like an empty one: fingerprint 0, linked like any other; fewer words than a
 shingle make one shingle; rows with equal or null ids each get a row, and null ids name no component unless all of
-its ids are null; an empty table gives no rows; other columns of the input aren't returned.
+its ids are null (then it has no name: null); ids may be negative; an empty table gives no rows; other columns of the
+input aren't returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import free, ship, sliced, spread, stored, text_bytes
+from vecspark.llm.common import ship, sliced, spread, stored, text_bytes
 from vecspark.llm.components import components
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 4, 42
 #: Fingerprints of a tile, and of a cell that one task compares.
 TILE, CELL = 512, 16_384
+#: Pairs within the radius that a task holds, beside a spanning forest.
+PAIRS = 2_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -67,8 +73,17 @@ def masks(radius: int, blocks: int) -> list[int]:
     """Bits of each choice of ``blocks - radius`` of the parts, as signed 64-bit numbers."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     part = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    out = [sum(part[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
-    return [x - (1 << 64) if x >> 63 else x for x in out]
+    return [signed(sum(part[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def open_parts(mask: int, radius: int) -> list[int]:
+    """The bits that ``mask`` leaves open, in ``radius + 1`` parts."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    return [signed(sum(1 << b for b in bits[i :: radius + 1])) for i in range(radius + 1)]
 
 
 class Forest:
@@ -77,51 +92,92 @@ class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
 
-    def roots(self, at: np.ndarray) -> np.ndarray:
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        at = of
         while True:
             above = self.up[at]
             if np.array_equal(above, at):
+                self.up[of] = at
                 return at
             at = above
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.roots(a), self.roots(b)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            apart = low != high
-            low, high = low[apart], high[apart]
-            np.minimum.at(self.up, high, low)
-            a, b = low, high
-
-
-def tile_links(cell: np.ndarray, fp: np.ndarray, side: np.ndarray | None, radius: int, forest: Forest) -> None:
-    """Links all pairs of equal cells within the radius. Rows are sorted by cell, then population count.
-
-    side: where given, only pairs of a 0 and a 1 count (other pairs have other tasks).
+    def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the links (a, b) joined two trees: a spanning forest of them."""
+        used, own = [], np.arange(len(a))
+        while len(own):
+            x, y = self.roots(a[own]), self.roots(b[own])
+            apart = x != y
+            own, low, high = own[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            order = np.lexsort((low, high))  # each root of two goes below the least that it is linked to
+            own, low, high = own[order], low[order], high[order]
+            high, first = np.unique(high, return_index=True)
+            self.up[high] = low[first]
+            used.append(own[first])
+        return np.concatenate(used) if used else own
+
+
+def near_pairs(cell: np.ndarray, fps: list[np.ndarray], side: np.ndarray | None, radius: int, size: np.ndarray | None = None, share: float = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, second, differing bits) of all pairs of equal cells within the radius, tile by tile.
+
+    Rows are sorted by cell, then population count. fps: the fingerprint's words of 64 bits. side: where given, only
+    pairs of a 0 and a 1 count (other pairs have other tasks). share: where given, the smaller ``size`` of a pair is at least that
+    share of the larger.
     """
-    n, counts = len(fp), np.bitwise_count(fp).astype(np.int64)
-    starts = range(0, n, TILE)
-    for i in starts:
+    n = len(cell)
+    counts = sum(np.bitwise_count(f).astype(np.int64) for f in fps)
+    for i in range(0, n, TILE):
         a = slice(i, min(n, i + TILE))
         for j in range(i, n, TILE):
             b = slice(j, min(n, j + TILE))
             if j > i and cell[j] != cell[a.stop - 1]:
                 break
             inside = cell[a.start] == cell[b.stop - 1]
-            if inside and counts[a].min() > counts[b].max() + radius or inside and counts[b].min() > counts[a].max() + radius:
+            if inside and (counts[a].min() > counts[b].max() + radius or counts[b].min() > counts[a].max() + radius):
                 continue
-            near = np.bitwise_count(fp[a, None] ^ fp[None, b]) <= radius
+            bits = np.bitwise_count(fps[0][a, None] ^ fps[0][None, b])
+            for f in fps[1:]:
+                bits += np.bitwise_count(f[a, None] ^ f[None, b])
+            x, y = np.nonzero(bits <= radius)
+            d = bits[x, y]
+            x, y = x + i, y + j
+            own = x < y
             if not inside:
-                near &= cell[a, None] == cell[None, b]
+                own &= cell[x] == cell[y]
             if side is not None:
-                near &= side[a, None] != side[None, b]
-            x, y = np.nonzero(near)
-            own = x + i < y + j
-            forest.link(x[own] + i, y[own] + j)
-
-
-def _compare(radius: int):
-    """Of rows (cell, fp, id, side), sorted by cell, the links (a, b) of a spanning forest of each run of whole cells."""
+                own &= side[x] != side[y]
+            if size is not None:
+                own &= np.minimum(size[x], size[y]) >= share * np.maximum(size[x], size[y])
+            if own.any():
+                yield x[own], y[own], d[own]
+
+
+def nearest_forest(n: int, pairs: Iterator) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (first, second, distance) over 0..n-1 a spanning forest of least distances."""
+
+    def shortest(rows: list) -> tuple:
+        x, y, d = (np.concatenate(c) for c in zip(*rows, strict=True))
+        forest, keep = Forest(n), []
+        for k in np.unique(d):
+            own = np.flatnonzero(d == k)
+            keep.append(own[forest.link(x[own], y[own])])
+        keep = np.concatenate(keep)
+        return x[keep], y[keep], d[keep]
+
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
+    for p in pairs:
+        held.append(p)
+        if sum(len(x[0]) for x in held[1:]) > PAIRS:  # links that close a circle of shorter ones aren't needed
+            held = [shortest(held)]
+    x, y, _ = shortest(held) if len(held) > 1 else held[0]
+    return x, y
+
+
+def _compare(radius: int, words: tuple[str, ...], share: float | None):
+    """Of rows (cell, the fingerprint's words, id, side), sorted by cell, links (a, b) of a spanning forest of each run of whole cells.
+
+    With ``share`` rows have a size, and links are pairs of the forest of least distances; without it, of a node and its tree's root.
+    """
+    names = ("cell", *words, "id", "side", *(("size",) if share else ()))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -129,19 +185,25 @@ def _compare(radius: int):
         held: list[tuple] = []
 
         def links(rows: list[tuple]):
-            cell, fp, ids, side = (np.concatenate(x) for x in zip(*rows, strict=True))
-            fp = fp.view(np.uint64)
-            order = np.lexsort((fp, np.bitwise_count(fp), cell))
-            cell, fp, ids, side = cell[order], fp[order], ids[order], side[order]
-            forest = Forest(len(fp))
-            tile_links(cell, fp, side if (side >= 0).any() else None, radius, forest)
-            at = np.arange(len(fp))
-            roots = forest.roots(at)
-            own = roots != at
-            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[roots[own]])], ["a", "b"])
+            cell, *fps, ids, side, size = (np.concatenate(x) for x in zip(*[(*r, r[0]) if not share else r for r in rows], strict=True))
+            fps = [f.view(np.uint64) for f in fps]
+            order = np.lexsort((*fps, sum(np.bitwise_count(f).astype(np.int64) for f in fps), cell))
+            cell, ids, side, size, fps = cell[order], ids[order], side[order], size[order], [f[order] for f in fps]
+            pairs = near_pairs(cell, fps, side if (side >= 0).any() else None, radius, size if share else None, share or 0)
+            if share:
+                a, b = nearest_forest(len(cell), pairs)
+            else:
+                forest = Forest(len(cell))
+                for x, y, _ in pairs:
+                    forest.link(x, y)
+                at = np.arange(len(cell))
+                roots = forest.roots(at)
+                a = np.flatnonzero(roots != at)
+                b = roots[a]
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
         for batch in batches:
-            rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "fp", "id", "side"))
+            rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in names)
             if not len(rows[0]):
                 continue
             held.append(rows)
@@ -156,62 +218,76 @@ def _compare(radius: int):
     return run
 
 
+def cell_links(nodes: DataFrame, keys: list, radius: int, words: tuple[str, ...] = ("fp",), share: float | None = None, within=None) -> DataFrame:
+    """Links (a, b) of ``nodes`` (the fingerprint's words, id, size) that connect all pairs of a cell within the radius, and no others.
+
+    keys: the columns that name a node's cells. within: number of the key and cell -> array of the cells that a node of a large
+    cell goes to instead.
+    """
+    own = [*words, "id", *(("size",) if share else ())]
+    least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = F.lit(-1).alias("side")
+    out: list[DataFrame] = []
+
+    def compared(rows: DataFrame, parts: int) -> DataFrame:
+        return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_compare(radius, words, share), "a bigint, b bigint")
+
+    def split(keyed: DataFrame) -> DataFrame | None:
+        """Has the small cells compared; the rows of the large ones, if there are any."""
+        keyed = stored(keyed, "cells")
+        large = stored(keyed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select(F.col("cell").alias("large")), "large")
+        parts = max(least, keyed.count() // (CELL * 8))
+        if not large.count():
+            out.append(compared(keyed.select("cell", *own, sides), parts))
+            return None
+        joined = keyed.join(large, F.col("cell") == F.col("large"), "left")
+        out.append(compared(joined.where("large IS NULL").select("cell", *own, sides), parts))
+        return joined.where("large IS NOT NULL").drop("large")
+
+    rest = split(nodes.select(F.posexplode(F.array(*keys)).alias("key", "cell"), *own))
+    if rest is not None and within is not None:
+        rest = split(rest.select("key", F.explode(within(F.col("key"), F.col("cell"))).alias("cell"), *own))
+    if rest is not None:
+        # A cell's band (population count, part of CELL rows) meets itself and each band whose count is 0 to radius above.
+        count = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("int")
+        rest = rest.select("cell", *own, count.alias("p"))
+        sizes = rest.groupBy("cell", "p").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("k"))
+        sizes = stored(sizes.groupBy(F.col("cell").alias("large")).agg(F.map_from_entries(F.collect_list(F.struct("p", "k"))).alias("ks"), F.sum("n").alias("n"), F.max("k").alias("most")), "bands")  # a row a cell, an entry a count
+        band = rest.join(sizes, F.col("cell") == F.col("large")).withColumn("s", F.pmod(F.xxhash64(*words, F.lit(1)), F.col("ks")[F.col("p")]).cast("int"))
+
+        def half(side: int) -> DataFrame:
+            """Rows as the lower (0) or upper (1) count of their pairs of bands."""
+            other = F.col("p") + F.col("d") if side == 0 else F.col("p") - F.col("d")
+            met = band.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(radius)))).withColumn("q", other).withColumn("k", F.col("ks")[F.col("q")]).where("k IS NOT NULL")
+            met = met.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+            pair = ("cell", "p", "q", "s", "t") if side == 0 else ("cell", "q", "p", "t", "s")
+            return met.select(F.xxhash64(*pair).alias("cell"), *own, F.lit(side).alias("side"))
+
+        rows = sizes.agg(F.sum(2 * (radius + 1) * F.col("n") * F.col("most"))).first()[0]
+        out.append(compared(half(0).unionByName(half(1)), max(least, min(200_000, int(rows) // (CELL * 8)))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``nodes`` (fp, id) that connect all pairs within the radius, and no others."""
-    cells = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks(radius, blocks))])
-    keyed = stored(nodes.select(F.explode(cells).alias("cell"), "fp", "id"), "cells")
-    large = stored(keyed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL).withColumnRenamed("cell", "large"), "large")
-    n = max(1, keyed.count() // (CELL * 8), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = "a bigint, b bigint"
-    sides = F.lit(-1).alias("side")
-    if not large.count():
-        return keyed.select("cell", "fp", "id", sides).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_compare(radius), schema)
-    joined = keyed.join(large, F.col("cell") == F.col("large"), "left")
-    small = joined.where("large IS NULL").select("cell", "fp", "id", sides)
-    # A large cell's band (population count, part) meets itself and each band whose count is 0 to radius above.
-    band = joined.where("large IS NOT NULL").select("cell", "fp", "id", F.bit_count("fp").alias("p"), F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("k")).withColumn("s", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("k")).cast("int"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias(c)
-    left = band.select("cell", "fp", "id", "p", "s", every("t"), "k").select("cell", "fp", "id", F.col("p").alias("p0"), F.explode(F.sequence(F.col("p"), F.col("p") + radius)).alias("p1"), F.col("s").alias("s0"), F.col("t").alias("s1"), F.lit(0).alias("side"))
-    right = band.select("cell", "fp", "id", "p", "s", every("t"), "k").select("cell", "fp", "id", F.explode(F.sequence(F.col("p") - radius, F.col("p"))).alias("p0"), F.col("p").alias("p1"), F.col("t").alias("s0"), F.col("s").alias("s1"), F.lit(1).alias("side"))
-    pairs = left.unionByName(right).select(F.xxhash64("cell", "p0", "p1", "s0", "s1").alias("cell"), "fp", "id", "side")
-    halves = lambda d: d.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_compare(radius), schema)
-    return halves(small).union(halves(pairs))
-
-
-def _classes(docs: DataFrame, shingle: int, radius: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Stored fingerprints (doc_id, fp) of all rows, and the component (_fp, component_id) of each distinct one."""
-    fps = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    # a class whose ids are all null has no name: it links under a negative one that no document gets
-    nodes = classes.select("fp", F.coalesce("id", -1 - F.abs(F.xxhash64("fp") % F.lit(1 << 62))).alias("id"))
-    links = stored(fingerprint_links(nodes, radius, blocks), "links")
-    roots = components(links, "simhash")
-    named = stored(nodes.join(roots, F.col("id") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "id").alias("root")), "roots")
-    if classes.where("id IS NULL").limit(1).count():
-        least = named.where("id >= 0").groupBy("root").agg(F.min("id").alias("least"))
-        named = named.join(least, "root", "left").select("fp", F.col("least").alias("component_id"))
-    else:
-        named = named.select("fp", F.col("root").alias("component_id"))
-    return fps, named.withColumnRenamed("fp", "_fp")
+    chosen = masks(radius, blocks)
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(chosen)]
+    parts = F.array(*[F.array(*[F.lit(m).cast("long") for m in open_parts(x, radius)]) for x in chosen])
+    within = lambda key, cell: F.transform(F.get(parts, key), lambda m, j: F.xxhash64(cell, j, F.col("fp").bitwiseAND(m)))
+    return cell_links(nodes, keys, radius, within=within)
 
 
 def simhash(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least id reachable by links, for every row."""
-    fps, named = _classes(docs, shingle, radius, blocks)
+    fps = stored(fingerprints(docs, shingle), "fingerprints")
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    links = stored(fingerprint_links(classes.select("fp", F.col("fp").alias("id")), radius, blocks), "links")
+    roots = components(links, "simhash")
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).join(names, F.col("_root") == F.col("root")).select("_fp", "component_id")
     return fps.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, with all their columns: one document of each group.
-
-    Only the ids of the others travel, to an anti-join by doc_id. Rows of one doc_id stay or go together; rows with a
-    null id can't be told apart and stay.
-    """
-    fps, named = _classes(docs, shingle, radius, blocks)
-    own = free("_copy", docs)
-    copies = fps.join(named, F.col("fp") == F.col("_fp")).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(stored(copies, "copies"), F.col("doc_id") == F.col(own), "left_anti")
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(spark.read.parquet(f"{sf_dir}/documents.parquet"))
