@@ -425,11 +425,42 @@ def test_a_single_copy_with_spread_edits_is_found(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [len(items)]
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def aligned(texts, benchmark):
+    """(place of the text, item_id, score) of every text and item whose whole alignment reaches the needed score."""
+    index = decontaminate.Index(sorted(benchmark))
+    numbers = decontaminate.Numbers(index.vocabulary)
+    out = set()
+    for n, t in enumerate(texts):
+        words, _ = decontaminate.read(numbers, [(t or "").encode()])
+        for i, score in enumerate(decontaminate.align(index.words, [words] * len(index.words)).tolist()):
+            if len(index.words[i]) >= 3 and score >= index.need[i]:
+                out.add((n, index.ids[i], score))
+    return out
+
+
+def test_all_texts_against_all_items(spark, monkeypatch):
+    """The whole operator against full alignments of every text with every item: nothing is missing, nothing too much."""
     docs, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    want = sorted(map(tuple, decontaminate.decontaminate(docs, benchmark).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK", 10)
-    assert sorted(map(tuple, decontaminate.decontaminate(docs, benchmark).collect())) == want and want
+    rows = docs.select("doc_id", "text").collect()
+    want = {(rows[n].doc_id, i, s) for n, i, s in aligned([r.text for r in rows], [tuple(r) for r in benchmark.select("item_id", "text").collect()])}
+    found = lambda: {(r.doc_id, r.item_id, r.score) for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert want and found() == want
+    kept = {r.doc_id for r in rows} - {d for d, _, _ in want}
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == kept
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)  # several blocks, and tables of few seeds
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert found() == want
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == kept
+
+
+def test_templated_items_match_what_holds_them(spark):
+    """Items that share most words: a text with their common words holds none of them."""
+    items = [(n, f"what is the name of x{n}") for n in range(300)] + [(500, "what is the name of x7")]
+    texts = ["what is the name of it " * 200, "well what is the name of x7 then", "what is the name of x7", None]
+    docs = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[3])], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()), key=str)
+    own = [7, 500]
+    assert got == sorted([(d, i) for d in (None, 2, 2) for i in own], key=str)
 
 
 # The pipeline.

@@ -8,12 +8,14 @@ Smith-Waterman over words (match 2, other -1, gap -1 a word), many regions at a
 if the alignment scores ``LEAST_SCORE`` of the item's own score at least (and for short items ``SHORT``). So each
 alignment of that score that matches three words in a row is found; copies without three words in a row are not.
 
-The benchmark is the stated query set: it is taken in blocks of about ``BLOCK`` items, so that what is broadcast has
-a bound; documents are never shuffled, collected or paired with each other.
+The benchmark is the stated query set: it is taken in blocks of about ``BLOCK_BYTES`` of text, so that what is broadcast
+has a bound, and no block depends on another; documents are never shuffled, collected or paired with each other. Places of seeds
+are reduced to distinct diagonals ``HITS`` at a time, so that a frequent seed makes no table of all its pairs.
 
 Defined results: null texts have no words; items of under three words have no seeds and match nothing; equal items of
-different ids each match; each matching row of documents gives one row an item, repeated or null ids too; empty tables
-give no rows; other columns are kept by ``clean`` and not returned by ``decontaminate``.
+different ids each match, and so does each item that is at the same place, whatever its score beside the others; each matching
+row of documents gives one row an item, with the best of its scores, repeated or null ids too; empty tables give no rows; other
+columns are kept by ``clean``, whatever their names, and not returned by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from vecspark.llm.common import ship, sliced, spread, text_bytes
 
 GRAM = 3
 LEAST_SCORE = 0.4
-#: Items of few words need this score for each word, as long as it is less than SHORT_SCORE.
-SHORT, SHORT_SCORE = 1.2, 14
+#: Items of few words need this score for each word, as long as it is less than SHORT_SCORE: most of their words.
+SHORT, SHORT_SCORE = 1.8, 14
 MATCH, OTHER, GAP = 2, -1, -1
-#: Items of a block, which is broadcast.
-BLOCK = 20_000
+#: Text of the items of a block, which is broadcast.
+BLOCK_BYTES = 8 << 20
+#: Places of seeds that are looked at at a time.
+HITS = 1 << 21
 #: Words that a worker remembers with their numbers.
 MEMO = 400_000
 #: Cells of an alignment table that are filled at a time.
@@ -93,7 +97,11 @@ class Index:
         self.word, self.times = np.unique(np.concatenate([np.full(n, i) * self.base + w for i, (n, w) in enumerate(zip(self.sizes, self.words, strict=True))] or [np.zeros(0, np.int64)]), return_counts=True)
 
     def grams(self, words: np.ndarray) -> np.ndarray:
-        """Codes of the 3-grams that start at each word; 0 where one of the words isn't in the vocabulary."""
+        """Codes of the 3-grams that start at each word; 0 where one of the words isn't in the vocabulary.
+
+        Above two million distinct words codes wrap: 3-grams of one code then share their seeds, and regions that hold no copy
+        are aligned in vain.
+        """
         if len(words) < GRAM:
             return np.zeros(0, np.int64)
         a, b, c = words[:-2], words[1:-1], words[2:]
@@ -171,17 +179,30 @@ def shared_words(index: Index, words: np.ndarray, item: np.ndarray, low: np.ndar
     return out
 
 
+def seeds(index: Index, at: np.ndarray, gram: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (text, item, diagonal) of the 3-grams ``gram`` at places ``at``, sorted."""
+    n = index.first[gram + 1] - index.first[gram]
+    ends = np.cumsum(n)
+    found = np.zeros((3, 0), np.int64)
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + HITS, "right")))
+        own = n[low:high]
+        rows = np.repeat(index.first[gram[low:high]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        here = np.stack([np.repeat(text[low:high], own), index.place_item[rows], np.repeat(at[low:high], own) - index.place_at[rows]])
+        found = np.concatenate([found, here], axis=1)
+        found = found[:, np.lexsort(found[::-1])]
+        found = found[:, np.concatenate([[True], (np.diff(found) != 0).any(axis=0)])]
+        low = high
+    return tuple(found)
+
+
 def copies(index: Index, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(text, item, score) of the texts that copy an item; the best score of each text and item."""
     at, gram = index.found(words)
     if not len(at):
         return []
-    n = index.first[gram + 1] - index.first[gram]
-    rows = np.repeat(index.first[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at, item = np.repeat(at, n), index.place_item[rows]
-    diagonal, text = at - index.place_at[rows], np.searchsorted(starts, at, "right") - 1
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal = text[order], item[order], diagonal[order]
+    text, item, diagonal = seeds(index, at, gram, np.searchsorted(starts, at, "right") - 1)
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > index.slack[item[1:]])
     first = np.flatnonzero(new)
@@ -200,9 +221,9 @@ def copies(index: Index, words: np.ndarray, starts: np.ndarray) -> list[tuple[in
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list]:
-    """The items, about ``BLOCK`` at a time."""
-    n = benchmark.count() // BLOCK + 1
+    """The items, about ``BLOCK_BYTES`` of text at a time."""
     items = benchmark.selectExpr("cast(item_id AS bigint) AS item_id", "text")
+    n = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         yield sorted(map(tuple, part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
@@ -233,7 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that copy no item of ``benchmark``, with all their columns. No shuffle."""
+    """The rows of ``docs`` that copy no item of ``benchmark``, with all their columns. No shuffle; one scan for all blocks."""
     ship(docs.sparkSession)
     for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items))
