@@ -65,3 +65,16 @@ def test_salted_join_of_limits_equals_broadcast(spark, monkeypatch):
     want = sorted(map(tuple, quality.quality(docs).collect()))
     monkeypatch.setattr(quality, "BROADCAST_ROWS", -1)
     assert sorted(map(tuple, quality.quality(docs).collect())) == want
+
+
+def test_groups_of_other_distributions_have_other_fences(spark):
+    """Symbols that are common in one source are junk in another; the fence of each follows its own documents."""
+    word = lambda i, n: " ".join(f"word{(i * 37 + k * 11) % 997}x{k}" for k in range(n))
+    plain = [(i, word(i, 60), "en", "prose") for i in range(60)]
+    tables = [(100 + i, " | ".join(word(i, 60).split()), "en", "tables") for i in range(60)]
+    odd = [(200, word(7, 60).replace(" ", " $ "), "en", "prose"), (201, word(7, 60).replace(" ", " $ "), "en", "tables")]
+    docs = spark.createDataFrame(plain + tables + odd, "doc_id bigint, text string, lang string, source string")
+    limits = {r.source: r for r in quality.limits_of(quality.measure(docs)).collect()}
+    assert limits["tables"].max_symbols > 3 * limits["prose"].max_symbols
+    assert limits["prose"].max_repeats < 200  # within what the base rules let pass
+    assert {r.doc_id for r in quality.quality(docs).collect() if not r.kept} == {200}

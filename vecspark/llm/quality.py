@@ -6,9 +6,12 @@ are exact sums, so that partial sketches merge in any order to the same result.
 of a document's own (language, source); where that has fewer than ``LEAST_DOCS`` documents, from the merged sketch of
 its language, and else from that of all. They replace fixed cutoffs; a join brings them back to the documents.
 
+A quartile is the least value of the sketch's first bucket up to which a quarter of the documents lie: it is within 1/32 of the
+exact one, and equal values never part. Very long texts are measured whole, each by one task.
+
 Defined results: a null text has no words; null languages and sources form groups of their own; rows with equal or
-null ids each get a row; an empty table gives no rows; other columns of the input are kept by ``rejected`` and
-dropped by ``measure``.
+null ids each get a row; a measure that equals its fence passes; an empty table gives no rows; other columns of the input are
+kept by ``rejected`` and ``passing``, whatever their names, and dropped by ``measure``.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from vecspark.llm.common import SPACE, spread, stored
 LEAST_DOCS = 50
 #: Upper fence: the third quartile and so many interquartile ranges.
 FENCE = 6
-#: The least range of each measure, for those that hardly vary in a group.
-LEAST_RANGE = {"symbols": 15, "dup_lines": 50, "repeats": 50, "upper": 30, "word_length": 1000}
+#: What a text of about a hundred words can resolve of each measure: some symbols, one line in thirty, a repeated window, some
+#: capitals, half a character a word. A group's range is this at least, as a single event isn't to decide.
+LEAST_RANGE = {"symbols": 5, "dup_lines": 30, "repeats": 25, "upper": 10, "word_length": 500}
 #: Thresholds up to so many rows (under 100 bytes each) are broadcast; more are joined by key, in salted parts.
 BROADCAST_ROWS = 100_000
 SALTS = 16
@@ -170,7 +174,7 @@ def rejected(docs: DataFrame, limits: DataFrame) -> DataFrame:
         joined = docs.join(F.broadcast(limits), same, "left")
     else:
         salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_own") == F.col("_salt")), "left").drop("_own", "_salt")
+        joined = docs.withColumn("_own", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_own") == F.col("_salt")), "left").drop("_own", "_salt")
     return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_lang", "_source", *names)
 
 
