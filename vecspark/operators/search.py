@@ -20,6 +20,8 @@ from vecspark.sources.shared import ship
 
 #: Vectors of queries that are broadcast at a time.
 BLOCK_BYTES = 16 << 20
+#: Queries that are fetched without counting them first.
+FEW = 1024
 #: Distances that a task holds at a time.
 CELLS = 1 << 22
 
@@ -62,12 +64,21 @@ def distances(metric: Metric, q: np.ndarray, b: np.ndarray, p: float = 2.0, inte
     return out
 
 
+def paired(metric: Metric, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x to the rows of y at the same place."""
+    if metric == Metric.L2:
+        return ((x - y) ** 2).sum(1)
+    if metric == Metric.INNER_PRODUCT:
+        return (x * y).sum(1)
+    return np.array([distances(metric, x[i : i + 1], y[i : i + 1])[0, 0] for i in range(len(x))])
+
+
 class Best:
-    """The k best of each of n queries, over any number of blocks of candidates."""
+    """The k best of each of n queries, over any number of blocks of candidates; with each row a number of the caller's, its ``tag``."""
 
     def __init__(self, n: int, k: int, similarity: bool):
         self.k, self.sign = k, -1 if similarity else 1
-        self.query, self.dist, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.query, self.dist, self.id, self.tag = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.worst = np.full(n, np.inf)
 
     def add(self, dist: np.ndarray, ids: np.ndarray) -> None:
@@ -76,15 +87,15 @@ class Best:
         q, c = np.nonzero(d <= self.worst[:, None])
         self.add_rows(q, d[q, c] * self.sign, ids[c])
 
-    def add_rows(self, query: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+    def add_rows(self, query: np.ndarray, dist: np.ndarray, ids: np.ndarray, tag: int = 0) -> None:
+        tags = np.concatenate([self.tag, np.full(len(query), tag)])
         query, dist, ids = np.concatenate([self.query, query]), np.concatenate([self.dist, self.sign * dist]), np.concatenate([self.id, ids])
-        valid = ~np.isnan(dist)
-        query, dist, ids = query[valid], dist[valid], ids[valid]
-        order = np.lexsort((ids, dist, query))
-        query, dist, ids = query[order], dist[order], ids[order]
+        valid = np.flatnonzero(~np.isnan(dist))
+        order = valid[np.lexsort((ids[valid], dist[valid], query[valid]))]
+        query, dist, ids, tags = query[order], dist[order], ids[order], tags[order]
         first = np.searchsorted(query, query)
         keep = np.arange(len(query)) - first < self.k
-        self.query, self.dist, self.id = query[keep], dist[keep], ids[keep]
+        self.query, self.dist, self.id, self.tag = query[keep], dist[keep], ids[keep], tags[keep]
         last = (np.arange(len(query)) - first == self.k - 1) & keep
         self.worst[query[last]] = dist[last]
 
@@ -100,11 +111,14 @@ FOUND = "query_id bigint, id bigint, dist double"
 def query_blocks(queries: DataFrame, columns: tuple[str, ...] = ("vec",)) -> Iterator[tuple]:
     """(ids, matrix of each column) of the queries, ``BLOCK_BYTES`` of vectors at a time. Rows with null vectors are left out."""
     rows = queries.select(F.col("query_id").cast("bigint").alias("query_id"), *columns).where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
-    size = rows.agg(F.count("*"), *[F.max(F.size(c)) for c in columns]).first()
-    n = max(1, -(-size[0] * 8 * sum(size[1:] or [0] if size[0] else [0]) // BLOCK_BYTES))
+    few = rows.limit(FEW + 1).collect()  # most query sets are small: one job
+    n = 1
+    if len(few) > FEW:
+        size = rows.agg(F.count("*"), *[F.max(F.size(c)) for c in columns]).first()
+        n = max(1, -(-size[0] * 8 * sum(size[1:]) // BLOCK_BYTES))
     for b in range(n):
         block = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else rows
-        got = sorted(block.collect(), key=lambda r: r[0])
+        got = sorted(few if len(few) <= FEW else block.collect(), key=lambda r: r[0])
         yield (np.array([r[0] for r in got], np.int64), *[np.array([r[c] for r in got], np.float64).reshape(len(got), -1) if got else np.zeros((0, 1)) for c in columns])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +14,9 @@ from vecspark.operators import search as S
 from vecspark.operators.search import Best, blockwise, hamming_matrix, ranked, word_blocks, words_matrix
 from vecspark.sources.shared import ship
 
+#: Probed lists that are named in the scan's filter.
+NAMED_LISTS = 10_000
+
 
 def binary_centroids(base: DataFrame, d: int, nlist: int, seed: int = 1234) -> np.ndarray:
     """Packed centroids: k-means on the bits as +1 and -1, each centroid's signs."""
@@ -44,7 +48,7 @@ def ivf_search(queries: DataFrame, codes: DataFrame, centroids: np.ndarray, k: i
     def blocks():
         for ids, q in word_blocks(queries):
             probes = np.argsort(hamming_matrix(q, centroids), axis=1, kind="stable")[:, :nprobe]
-            yield ids, q, {no: np.flatnonzero((probes == no).any(1)) for no in range(len(centroids))}
+            yield ids, q, {no: np.flatnonzero((probes == no).any(1)) for no in np.unique(probes).tolist()}
 
     def task(block, batches):
         ids, q, probing = block
@@ -52,14 +56,19 @@ def ivf_search(queries: DataFrame, codes: DataFrame, centroids: np.ndarray, k: i
         for batch in batches:
             lists, own_ids, words = batch.column("list_no").to_numpy(), batch.column("id").to_numpy(), words_matrix(batch.column("words"))
             for no in np.unique(lists).tolist():
-                own, rows = probing[no], np.flatnonzero(lists == no)
+                own, rows = probing.get(no, ()), np.flatnonzero(lists == no)
                 if len(own):
                     d = hamming_matrix(q[own], words[rows])
                     best.add_rows(np.repeat(own, len(rows)), d.ravel().astype(float), np.tile(own_ids[rows], len(own)))
         yield best.batch(ids)
 
-    out = ranked(blockwise(codes, blocks(), task, S.FOUND), k)
-    return out.select("query_id", "rank", "id", F.col("dist").cast("bigint").alias("dist"))
+    found = None
+    for block in blocks():  # lists that no query of the block probes aren't read, if the codes are stored by list
+        probed = [no for no, own in block[2].items() if len(own)]
+        own = codes if len(probed) == len(centroids) or len(probed) > NAMED_LISTS else codes.where(F.col("list_no").isin(probed))
+        part = blockwise(own, [block], task, S.FOUND)
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, k).select("query_id", "rank", "id", F.col("dist").cast("bigint").alias("dist"))
 
 
 def hash_keys(words, tables: int, b: int, flips: int = 0):
@@ -88,3 +97,55 @@ def hash_search(queries: DataFrame, base: DataFrame, k: int, b: int, tables: int
     both = found.join(q, F.col("query_id") == F.col("_q")).join(r, F.col("id") == F.col("_i"))
     both = both.select("query_id", "id", V.hamming(F.col("_qw"), F.col("_bw")).cast("bigint").alias("dist"))
     return both.where(F.col("dist") < radius) if radius is not None else ranked(both, k).select("query_id", "rank", "id", "dist")
+
+
+@dataclass
+class BinaryIndex:
+    """An index of ``d`` bits a row (``words``): Flat, IVF (``size`` lists), Hash (``tables`` of ``size`` bits) or HNSW (``size`` links)."""
+
+    d: int
+    kind: str = "Flat"
+    size: int = 0
+    tables: int = 1
+    nprobe: int = 1
+    flips: int = 0
+    ef: int = 64
+    centroids: np.ndarray = field(default=None, repr=False)
+    rows: DataFrame = field(default=None, repr=False)
+
+    def _reals(self, rows: DataFrame) -> DataFrame:
+        """Vectors of 0 and 1, whose squared distance is the Hamming distance."""
+        return rows.withColumn("vec", F.transform(V.unpacked_bits(F.col("words"), self.d), lambda x: x.cast("double"))).drop("words")
+
+    def train(self, df: DataFrame) -> BinaryIndex:
+        if self.kind == "IVF":
+            self.centroids = binary_centroids(df, self.d, self.size)
+        return self
+
+    def add(self, df: DataFrame) -> BinaryIndex:
+        """Of HNSW, shards are built and written once."""
+        from vecspark.plans import graph, graph_index
+        from vecspark.sources.shared import stored
+
+        if self.kind == "IVF":
+            new = ivf_add(df, self.centroids)
+        elif self.kind == "HNSW":
+            reals = self._reals(df)
+            new = stored(graph_index.packed(reals, graph.build(reals, "hnsw", self.size)), "graph")
+        else:
+            new = df.select("id", "words")
+        self.rows = new if self.rows is None else self.rows.unionByName(new)
+        return self
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, id, dist (differing bits)."""
+        from vecspark.plans import graph_index
+
+        if self.kind == "IVF":
+            return ivf_search(queries, self.rows, self.centroids, k, self.nprobe)
+        if self.kind == "Hash":
+            return hash_search(queries, self.rows, k, self.size, self.tables, self.flips)
+        if self.kind == "HNSW":
+            found = graph_index.search(self._reals(queries), self.rows, k, max(self.ef, k))
+            return found.select("query_id", "rank", "id", F.col("dist").cast("bigint").alias("dist"))
+        return S.hamming_knn(queries, self.rows, k)

@@ -7,8 +7,9 @@ values of the format:
 * coarse ``IVFn`` (also ``IVFn_HNSWm`` and ``IVFn_NSGr``: the lists are found exactly), ``IMI2xb``, ``IVFn(RCQmxb)``
 * codes ``Flat SQ4 SQ6 SQ8 SQfp16 PQm[xb][np] PQmx4fs[r] RQmxb LSQmxb PRQpxmxb PLSQpxmxb LSH[r][t] ZnLatticepxr2_b``,
   ``Residualn`` (two layers: a coarse quantizer and a product codec), ``FlatDedup``, ``ITQ,SH`` and ``RowMin`` wrappers
-* graphs ``HNSWm NSGr`` (see ``graph``), wrappers ``RFlat Refine(codes) IDMap IDMap2``
-* binary ``BFlat BIVFn BHashb BHNSWm``
+* graphs ``HNSWm NSGr`` with codes behind them (``HNSW32,SQ8``), in place of a coarse quantizer: see ``graph_index``
+* wrappers ``RFlat Refine(codes) IDMap IDMap2``
+* binary, by ``binary_index``: ``BFlat BIVFn BHashb BHashtxb BHNSWm``
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import re
 from vecspark.functions.vectors import Metric
 from vecspark.plans import codecs as C
 from vecspark.plans import transforms as X
+from vecspark.plans.binary import BinaryIndex
+from vecspark.plans.graph_index import GraphIndex
 from vecspark.plans.index import VectorIndex
 
 
@@ -73,10 +76,25 @@ def codec_of(text: str, d: int):
     return None
 
 
-def vector_index(d: int, description: str, metric: Metric = Metric.L2) -> VectorIndex:
+def binary_index(d: int, description: str) -> BinaryIndex:
+    """An untrained index of vectors of ``d`` bits."""
+    if m := re.fullmatch(r"BFlat|B(IVF|HNSW|Hash)(?:(\d+)x)?(\d+)", description):
+        return BinaryIndex(d, m[1] or "Flat", int(m[3] or 0), int(m[2] or 1))
+    raise ValueError(f"no such index: {description}")
+
+
+def vector_index(d: int, description: str, metric: Metric = Metric.L2) -> VectorIndex | GraphIndex:
     """An untrained index of vectors of ``d`` dimensions."""
     index, own, done = VectorIndex(metric=metric), d, False
     parts = split_parts(description)
+    graphs = [m for m in (re.fullmatch(r"(HNSW|NSG)(\d+)", p) for p in parts) if m]
+    if graphs:
+        if metric != Metric.L2 or len(graphs) > 1:
+            raise ValueError(f"{description}: one graph, by L2")
+        inner = vector_index(d, ",".join([p for p in parts if p != graphs[0][0]] or ["Flat"]), metric)
+        if inner.nlist or inner.refine is not None:
+            raise ValueError(f"{description}: a graph takes transforms and codes")
+        return GraphIndex(graphs[0][1].lower(), int(graphs[0][2]), inner)
     while parts and parts[-1] in ("IDMap", "IDMap2"):
         parts.pop()  # ids are a column of every table
     if parts and (m := re.fullmatch(r"RFlat|Refine\((.+)\)", parts[-1])):

@@ -200,6 +200,25 @@ def search(queries: DataFrame, base: DataFrame, edges: DataFrame, k: int, ef: in
     return ranked(out, k if radius is None else 1 << 30)
 
 
+def best_of_shard(qids, q, ids, x, level, src, dst, k: int, ef: int, radius: float | None) -> Best:
+    """The best of a shard for each query: ids and vectors x by place, edges (level, src, dst) between places."""
+    best = Best(len(qids), k if radius is None else max(k, len(ids)), False)
+    if not len(ids) or not len(level):
+        return best
+    layers: dict[int, dict[int, list[int]]] = {}
+    for lv, i, j in zip(level.tolist(), src.tolist(), dst.tolist(), strict=True):
+        layers.setdefault(lv, {}).setdefault(i, []).append(j)
+    start = next(iter(layers.get(-1, {0: []})))
+    for n in range(len(qids)):
+        at = [start]
+        for lv in sorted((v for v in layers if v > 0), reverse=True):
+            at = [walk(x, lambda i, lv=lv: layers[lv].get(i, []), q[n], at, 1)[0][1]]
+        found = walk(x, lambda i: layers.get(0, {}).get(i, []), q[n], at, max(ef, k))
+        found = [(d, i) for d, i in found if radius is None or d < radius]
+        best.add_rows(np.full(len(found), n), np.array([d for d, _ in found]), ids[[i for _, i in found]] if found else np.zeros(0, np.int64))
+    return best
+
+
 def _searched(shared, k: int, ef: int, radius: float | None):
     """(key, rows, links) of a shard -> the best it has for each query of a broadcast block."""
 
@@ -210,21 +229,9 @@ def _searched(shared, k: int, ef: int, radius: float | None):
         ids = rows.column("id").to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
-        best = Best(len(qids), k if radius is None else max(k, len(ids)), False)
-        if len(ids) and links.num_rows:
-            x = matrix(rows.column("vec").combine_chunks())[order]
-            level, a, b = links.column("level").to_numpy(), np.searchsorted(ids, links.column("src").to_numpy()), np.searchsorted(ids, links.column("dst").to_numpy())
-            layers: dict[int, dict[int, list[int]]] = {}
-            for lv, i, j in zip(level.tolist(), a.tolist(), b.tolist(), strict=True):
-                layers.setdefault(lv, {}).setdefault(i, []).append(j)
-            start = next(iter(layers.get(-1, {0: []})))
-            for n in range(len(qids)):
-                at = [start]
-                for lv in sorted((v for v in layers if v > 0), reverse=True):
-                    at = [walk(x, lambda i, lv=lv: layers[lv].get(i, []), q[n], at, 1)[0][1]]
-                found = walk(x, lambda i: layers.get(0, {}).get(i, []), q[n], at, max(ef, k))
-                found = [(d, i) for d, i in found if radius is None or d < radius]
-                best.add_rows(np.full(len(found), n), np.array([d for d, _ in found]), ids[[i for _, i in found]] if found else np.zeros(0, np.int64))
+        x = matrix(rows.column("vec").combine_chunks())[order] if len(ids) else np.zeros((0, 1))
+        level, src, dst = (links.column(c).to_numpy() for c in ("level", "src", "dst"))
+        best = best_of_shard(qids, q, ids, x, level, np.searchsorted(ids, src), np.searchsorted(ids, dst), k, ef, radius)
         return pa.Table.from_batches([best.batch(qids)])
 
     return run

@@ -2,8 +2,9 @@
 
 An index is a small model (centroids, codebooks, matrices: trained on a bounded sample, broadcast) and a table of codes
 (list_no, id, code), one row for each vector of the base. Adding encodes rows where they lie. A search finds each
-query's probes among the centroids, then scans the codes where they lie: each task compares the codes of a list with
-the queries that probe it and passes on its k best a query. Stored by list, unprobed lists aren't read.
+query's probes among the centroids, then scans the codes of the probed lists where they lie: each task compares the codes of
+a list with the queries that probe it and passes on its k best a query. Stored by list, unprobed lists aren't read. Product
+codes are compared by tables of distances to the codewords, one for each query, list and part, and never decoded.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from pyspark.sql import functions as F
 
 from vecspark.operators import search as S
 from vecspark.operators.aggregate import deduplicated
-from vecspark.operators.search import Best, Metric, blockwise, distances, matrix, query_blocks, ranked
+from vecspark.operators.search import Best, Metric, blockwise, distances, matrix, paired, query_blocks, ranked
 from vecspark.plans.codecs import Flat, Product
-from vecspark.plans.kmeans import MAX_POINTS, KMeans, nearest, rows_of, sample
+from vecspark.plans.kmeans import LOCAL_BYTES, MAX_POINTS, KMeans, nearest, rows_of, sample
 from vecspark.plans.transforms import chained
 from vecspark.sources.shared import ship
 
-#: Rows of the sample that models are trained on, at most, beside MAX_POINTS for each centroid.
+#: Rows of the sample that models are trained on, about, beside MAX_POINTS for each centroid.
 TRAIN_ROWS = 65_536
+#: Probed lists that are named in the scan's filter; more are joined.
+NAMED_LISTS = 10_000
+#: Found rows (32 bytes each) that are broadcast to the vectors they are rescored with; more are joined by a shuffle.
+BROADCAST_FOUND = 1_000_000
 
 
 @dataclass
@@ -58,12 +63,26 @@ class VectorIndex:
         return self.by_residual if self.by_residual is not None else bool(self.nlist) and not isinstance(self.codec, Flat)
 
     def train(self, df: DataFrame) -> VectorIndex:
-        """On the rows of least hash of id, MAX_POINTS a centroid or TRAIN_ROWS; every row is indexed by ``add``."""
-        return self.train_array(rows_of(sample(df, max(TRAIN_ROWS, MAX_POINTS * self.nlist), self.seed)))
+        """On rows of low hash of id, MAX_POINTS a centroid or TRAIN_ROWS; every row is indexed by ``add``.
+
+        Where the rows for the centroids have more than LOCAL_BYTES, they stay where they are: centroids are found by passes over
+        them, and all else is trained on as many as have LOCAL_BYTES.
+        """
+        wanted = max(TRAIN_ROWS, MAX_POINTS * self.nlist)
+        width = 8 * (df.select(F.size("vec")).where("vec IS NOT NULL").first() or [1])[0]
+        if wanted * width <= LOCAL_BYTES or self.coarse is not None or not self.nlist or self.centroids is not None:
+            return self.train_array(rows_of(sample(df, min(wanted, LOCAL_BYTES // width + 1), self.seed)))
+        x = rows_of(sample(df, LOCAL_BYTES // width, self.seed))
+        for t in self.chain:
+            t.train(x)
+            x = t.apply(x)
+        spherical = self.metric == Metric.INNER_PRODUCT if self.spherical is None else self.spherical
+        many = transformed(sample(df, wanted, self.seed), self.chain)
+        self.centroids = KMeans(self.nlist, 10, seed=self.seed, spherical=spherical).fit(many).centroids
+        return self._train_codes(rows_of(sample(df, LOCAL_BYTES // width, self.seed)), x)
 
     def train_array(self, x: np.ndarray) -> VectorIndex:
-        if self.refine is not None:
-            self.refine.train(x)
+        raw = x
         for t in self.chain:
             x = t.train(x).apply(x)
         if self.nlist:
@@ -74,11 +93,22 @@ class VectorIndex:
                     self.nlist = len(self.centroids)
                 else:
                     self.centroids = KMeans(self.nlist, 10, seed=self.seed, spherical=spherical).fit_array(x).centroids
-            if self.residual:
-                x = x - self.centroids[nearest(x, self.centroids, self._coarse_metric)[0]]
+        return self._train_codes(raw, x)
+
+    def _train_codes(self, raw: np.ndarray, x: np.ndarray) -> VectorIndex:
+        """The codecs, from vectors and transformed vectors."""
+        if self.refine is not None:
+            self.refine.train(raw)
+        if self.nlist and self.residual:
+            x = x - self.centroids[nearest(x, self.centroids, self._coarse_metric)[0]]
         self.codec.train(x)
         return self
 
+    @property
+    def code_type(self) -> str:
+        """What a code is an array of: two bytes a part for product codes, which Parquet packs to the bits they need."""
+        return "smallint" if isinstance(self.codec, Product) and self.codec.bits < 16 else "double"
+
     @property
     def _coarse_metric(self) -> Metric:
         return Metric.INNER_PRODUCT if self.metric == Metric.INNER_PRODUCT else Metric.L2
@@ -95,7 +125,7 @@ class VectorIndex:
     def encode(self, df: DataFrame) -> DataFrame:
         """list_no, id, code of each row of ``df`` (id, vec) that has a vector without NaN."""
         ship(df.sparkSession)
-        shared = df.sparkSession.sparkContext.broadcast(self._model())
+        shared, kind = df.sparkSession.sparkContext.broadcast(self._model()), np.int16 if self.code_type == "smallint" else np.float64
 
         def run(batches):
             import pyarrow as pa
@@ -106,12 +136,12 @@ class VectorIndex:
                     continue
                 lists, codes = shared.value._encoded(x)
                 w = codes.shape[1]
-                code = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, w), pa.int32()), pa.array(np.ascontiguousarray(codes).ravel().astype(np.float64)))
+                code = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, w), pa.int32()), pa.array(np.ascontiguousarray(codes).ravel().astype(kind)))
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column("id"), code], ["list_no", "id", "code"])
 
         rows = df.select(F.col("id").cast("bigint").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
         rows = rows.where("vec IS NOT NULL AND NOT exists(vec, x -> isnan(x))")
-        return rows.mapInArrow(run, "list_no int, id bigint, code array<double>")
+        return rows.mapInArrow(run, f"list_no int, id bigint, code array<{self.code_type}>")
 
     def add(self, df: DataFrame) -> VectorIndex:
         """Codes of every row; with ``dedup`` equal vectors of a call have one code, under their least id, and ``instances`` (first, id)."""
@@ -177,6 +207,19 @@ class VectorIndex:
             codes = codes.join(F.broadcast(sizes.select(F.col("list_no").alias("_l"))), F.col("list_no") == F.col("_l"), "left_semi")  # a row a list
         fixed = None if given is None else _grouped(given)
 
+        tabled = isinstance(model.codec, Product) and model.metric in (Metric.L2, Metric.INNER_PRODUCT)
+
+        def compared(y: np.ndarray, no: int, code: np.ndarray) -> np.ndarray:
+            """Distances of queries to the codes of a list."""
+            center = model.centroids[no] if model.residual else None
+            if not tabled:
+                x = model.codec.decode(code)
+                return distances(model.metric, y, x if center is None else x + center, integer=model.metric == Metric.L2)
+            if model.metric == Metric.L2:
+                return model.codec.by_tables(model.codec.tables(y if center is None else y - center), code)
+            own = model.codec.by_tables(model.codec.tables(y, Metric.INNER_PRODUCT), code)
+            return own if center is None else own + (y @ center)[:, None]
+
         def block(ids, x):
             y = chained(x, model.chain)
             if fixed is not None:
@@ -207,17 +250,25 @@ class VectorIndex:
                         step = max(1, S.CELLS // len(own))
                         for a in range(0, len(rows), step):
                             part = rows[a : a + step]
-                            x = model.codec.decode(code[part])
-                            if model.residual:
-                                x = x + model.centroids[no]
-                            yield own, distances(model.metric, y[own], x, integer=model.metric == Metric.L2), own_ids[part], no
+                            yield own, compared(y[own], no, code[part]), own_ids[part], no
 
             yield from emit(ids, found())
 
-        needed = None if not self.nlist or given is None else sorted({no for own in fixed.values() for no, _ in own})
-        if needed is not None:
-            codes = codes.where(F.col("list_no").isin(needed)) if len(needed) <= 10_000 else codes
-        return blockwise(codes, (block(i, x) for i, x in query_blocks(queries)), task, schema)
+        out = None
+        for ids, x in query_blocks(queries):
+            one = block(ids, x)
+            part = blockwise(self._of_lists(codes, sorted(one[3])), [one], task, schema)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _of_lists(self, codes: DataFrame, lists: list[int]) -> DataFrame:
+        """The codes of some lists. Stored by list, other folders aren't read: a filter for few lists, a join that prunes for many."""
+        if not self.nlist or len(lists) >= self.nlist:
+            return codes
+        if len(lists) <= NAMED_LISTS:
+            return codes.where(F.col("list_no").isin(lists))
+        named = codes.sparkSession.createDataFrame([(no,) for no in lists], "_no int")  # at most a row a list, as the centroids
+        return codes.join(F.broadcast(named), F.col("list_no") == F.col("_no"), "left_semi")
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, probes: DataFrame | None = None, keep: Column | None = None, pad: bool = False) -> DataFrame:
         """query_id, rank, id, dist, and list_no of each neighbour.
@@ -231,35 +282,34 @@ class VectorIndex:
             import pyarrow as pa
 
             best = Best(len(ids), wanted, similar)
-            in_list: dict[int, int] = {}
             for own, d, row_ids, no in blocks:
-                worst = best.worst[own]
-                q, c = np.nonzero((-d if similar else d) <= worst[:, None])
-                best.add_rows(own[q], d[q, c], row_ids[c])
-                in_list.update(dict.fromkeys(row_ids[np.unique(c)].tolist(), no))
-                if len(in_list) > 4 * wanted * max(1, len(ids)):
-                    held = set(best.id.tolist())
-                    in_list = {i: no for i, no in in_list.items() if i in held}
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.sign * best.dist), pa.array([in_list[i] for i in best.id.tolist()], pa.int32())], ["query_id", "id", "dist", "list_no"])
+                q, c = np.nonzero((-d if similar else d) <= best.worst[own][:, None])
+                best.add_rows(own[q], d[q, c], row_ids[c], no)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.sign * best.dist), pa.array(best.tag, pa.int32())], ["query_id", "id", "dist", "list_no"])
 
         limits = None
         if self.max_codes and self.nlist:
             limits = {"lists": {r[0]: r[1] for r in visited(self.probes(queries, nprobe), self.list_sizes(), self.max_codes).groupBy("query_id").agg(F.count("*")).collect()}}
         out = ranked(self._scan(queries, nprobe or self.nprobe, probes, keep, emit, "query_id bigint, id bigint, dist double, list_no int", limits), wanted, similar)
         if self.refine is not None:
-            out = self.rescored(queries, out).transform(lambda d: ranked(d, k, similar))
+            out = self.rescored(queries, out, wanted).transform(lambda d: ranked(d, k, similar))
         if self.dedup:
             both = out.select("query_id", F.col("id").alias("_f"), "dist", "list_no").join(self.instances, F.col("_f") == F.col("first"))
             out = ranked(both.select("query_id", "id", "dist", "list_no"), k, similar)
         out = out.select("query_id", "rank", "id", "dist", "list_no")
         return S.padded(out, queries, k, similar) if pad else out
 
-    def rescored(self, queries: DataFrame, found: DataFrame) -> DataFrame:
-        """Found rows with their distances by the refining codec's vectors, without transforms: one equi-join by id."""
+    def rescored(self, queries: DataFrame, found: DataFrame, wanted: int) -> DataFrame:
+        """Found rows with their distances by the refining codec's vectors, without transforms: one equi-join by id.
+
+        At most ``wanted`` rows a query are found: where these are few, they go to the vectors, which aren't shuffled then.
+        """
+        n = queries.count()
+        few = lambda d, rows: F.broadcast(d) if rows <= BROADCAST_FOUND else d
         raw = self.refined.select(F.col("id").alias("_i"), "vec")
-        got = found.select("query_id", "id", "list_no").join(raw, F.col("id") == F.col("_i")).drop("_i")
+        got = raw.join(few(found.select("query_id", "id", "list_no"), n * wanted), F.col("id") == F.col("_i")).drop("_i")
         q = queries.select(F.col("query_id").alias("_q"), F.transform("vec", lambda x: x.cast("double")).alias("_qv"))
-        both = got.join(q, F.col("query_id") == F.col("_q"))
+        both = got.join(few(q, n * len(queries.columns) * 32), F.col("query_id") == F.col("_q"))
         shared = found.sparkSession.sparkContext.broadcast((self.refine, self.metric))
 
         def run(batches):
@@ -270,8 +320,7 @@ class VectorIndex:
                 if not batch.num_rows:
                     continue
                 x, y = refine.decode(refine.encode(matrix(batch.column("vec")))), matrix(batch.column("_qv"))
-                d = np.array([distances(metric, y[i : i + 1], x[i : i + 1])[0, 0] for i in range(len(x))])
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), batch.column("list_no"), pa.array(d)], ["query_id", "id", "list_no", "dist"])
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), batch.column("list_no"), pa.array(paired(metric, y, x))], ["query_id", "id", "list_no", "dist"])
 
         return both.select("query_id", "id", "list_no", F.transform("vec", lambda x: x.cast("double")).alias("vec"), "_qv").mapInArrow(run, "query_id bigint, id bigint, list_no int, dist double")
 
@@ -340,6 +389,23 @@ class VectorIndex:
         spark.createDataFrame([(bytearray(pickle.dumps(self._model())), *there)], "model binary, refined boolean, instances boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
+def transformed(df: DataFrame, chain: list) -> DataFrame:
+    """id, vec of the rows after the transforms; no shuffle."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.ascontiguousarray(chained(matrix(batch.column("vec")), shared.value))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))], ["id", "vec"])
+
+    rows = df.where("vec IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    return rows.mapInArrow(run, "id bigint, vec array<double>")
+
+
 def load(spark, path: str) -> VectorIndex:
     import pickle
 

@@ -19,8 +19,9 @@ LOCAL_BYTES = 64 << 20
 
 
 def sample(df: DataFrame, n: int, seed: int = 1234) -> DataFrame:
-    """n rows, always the same for a seed: those of least hash of their id."""
-    return df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    """About n rows, always the same for a seed: those of low hash of their id, or all where there are no more. No shuffle."""
+    every = df.count()
+    return df if every <= n else df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * n / every))
 
 
 def rows_of(df: DataFrame) -> np.ndarray:
@@ -123,7 +124,12 @@ class KMeans:
         small = df if n <= MAX_POINTS * self.k else sample(df, MAX_POINTS * self.k, self.seed)
         if min(n, MAX_POINTS * self.k) * d * 8 <= LOCAL_BYTES:
             return self.fit_array(rows_of(small))
-        c = self._post(rows_of(sample(small, self.k, self.seed)) if self.initial is None else np.array(self.initial, np.float64))
+        if self.initial is None:
+            first = rows_of(sample(small, 2 * self.k + 64, self.seed))[: self.k]  # about twice as many as needed
+            first = first if len(first) == self.k else rows_of(small.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.k))
+        else:
+            first = np.array(self.initial, np.float64)
+        c = self._post(first)
         self.objective = []
         for _ in range(self.iterations):
             got = {r["list_no"]: r for r in cluster_sums(small, c, self.metric).collect()}  # a row a centroid
