@@ -73,6 +73,28 @@ def test_words_equal_the_library_on_any_text(text):
     assert np.frombuffer(words.text(text), "<i4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_gives_the_library_s_ids(name):
+    words = token_output.opened(name)
+    for text in ["the cat sat.", "Two  words\nand a line\t", "It's 12:30, d'accord? \u00e9", ""]:
+        assert np.frombuffer(words.text(text), "<i4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_ids_are_parted_by_their_texts(spark, monkeypatch):
+    """Rows of one id, or of none, go to several parts, in the order of their texts."""
+    monkeypatch.setattr(token_output, "parts_for", lambda docs: 8)
+    docs = spark.createDataFrame([(None if i % 2 else 5, f"{i * 7919 % 1000:04d} text") for i in range(1000)], "doc_id bigint, text string").withColumn("part", F.lit("clash"))
+    path = token_output.new_path(spark, "equal")
+    token_output.write_tokens(docs, path)
+    rows = token_output.read_tokens(spark, path)
+    assert rows.select("part").distinct().count() >= 6
+    got = sorted(token_output.digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 500 + [5] * 500 and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    words = token_output.opened(token_output.TOKENIZER)
+    texts = sorted(f"{i * 7919 % 1000:04d} text" for i in range(1000) if i % 2) + sorted(f"{i * 7919 % 1000:04d} text" for i in range(1000) if not i % 2)
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(words.text(t) + (2).to_bytes(4, "little")) for t in texts]
+
+
 # SentencePiece.
 
 
@@ -255,7 +277,7 @@ def test_without_repeats_keeps_columns_and_other_texts(spark):
 def test_backward_search_counts(sequences, pattern, length):
     """Rows of a pattern are its occurrences; matching statistics of full length are exact."""
     arrays = [np.array(s) for s in sequences]
-    index = fm_index.FMIndex(arrays, 3)
+    index = fm_index.FMIndex(arrays, 3, length)
     count = lambda p: sum(s[i : i + len(p)] == p for s in sequences for i in range(len(s) - len(p) + 1))
     for n in range(1, len(pattern) + 1):
         low, high = index.search(np.array(pattern[-n:]))
@@ -268,6 +290,21 @@ def test_backward_search_counts(sequences, pattern, length):
             assert highs[i] - lows[i] == count(pattern[i : i + longest])
 
 
+def test_index_is_compressed():
+    """Less than half of the 24 bytes a symbol of text, suffix array and owners; the least value of each run is exact."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(1, 20_000, 60)
+    sequences = [np.concatenate([rng.integers(1, 20_000, 20), common[a : a + 30], rng.integers(1, 20_000, 20)]) for a in rng.integers(0, 30, 600)]
+    values = rng.permutation(5000)[:600] - 100
+    index = fm_index.FMIndex(sequences, 20_000, 13, values)
+    assert index.nbytes - 16 * 20_000 < 12 * index.size
+    sizes, lows, _ = (x[0] for x in index.matching_statistics([common], 13))
+    for i in range(len(common) - 12):
+        have = [v for v, s in zip(values.tolist(), sequences, strict=True) if any((s[j : j + 13] == common[i : i + 13]).all() for j in range(len(s) - 12))]
+        assert (sizes[i] == 13) == bool(have)
+        assert not have or index.least_value(lows[i : i + 1])[0] == min(have)
+
+
 # WARC revisits.
 
 

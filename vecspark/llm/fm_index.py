@@ -3,7 +3,9 @@
 The sequences are laid one after another with a separator 0 between them. Suffixes are sorted by their first ``DEPTH``
 symbols only, which is enough for patterns of less than ``DEPTH`` words: equal ones stay in any order. The transform
 (the symbol before each suffix) is kept in a wavelet matrix: one bit vector for each bit of the alphabet, with counts
-of ones for each 64 bits.
+of ones for each 64 bits, 1.5 bits for each. Of the sorted suffixes only the runs of equal first ``length`` symbols are
+kept: where each begins, and the least value of the sequences in it, four bytes each. Neither the text nor the suffix
+array is. An index of words of 15 bits has 3 bytes a symbol, 8 a run at most, and 16 a distinct word.
 """
 
 from __future__ import annotations
@@ -50,9 +52,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index over ``sequences`` (arrays of symbols from 1 to ``top``)."""
+    """Index over ``sequences`` (arrays of symbols from 1 to ``top``), each with a value, their order where none are given.
 
-    def __init__(self, sequences: list[np.ndarray], top: int):
+    length: of the patterns that are told apart; runs of equal first ``length`` symbols are the index's units.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], top: int, length: int = DEPTH - 1, values: np.ndarray | None = None):
         zero = np.zeros(1, np.int64)
         text = np.concatenate([x for s in sequences for x in (s, zero)])
         n = len(text)
@@ -65,11 +70,38 @@ class FMIndex:
             step = np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)])
             rank[order] = np.cumsum(step)
             depth *= 2
-        self.suffix = np.argsort(rank)
-        self.owner = np.repeat(np.arange(len(sequences)), sizes)[self.suffix]
+        suffix = np.argsort(rank)
+        del rank
+        self.size = n
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
-        self.bwt = WaveletMatrix(text[self.suffix - 1], top)
-        self.text = text
+        self.bwt = WaveletMatrix(text[suffix - 1], top)
+        self.starts = self._runs(text, suffix, length)
+        values = np.arange(len(sequences)) if values is None else values
+        kinds, number = np.unique(values, return_inverse=True)  # values by number: four bytes a run
+        self.kinds, self.least = kinds, np.minimum.reduceat(number[np.repeat(np.arange(len(sequences)), sizes)[suffix]], self.starts[:-1]).astype(np.int32)
+
+    @staticmethod
+    def _runs(text: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
+        """Where, in the sorted suffixes, runs of equal first ``length`` symbols begin; the number of rows at the end."""
+        padded = np.concatenate([text, np.zeros(length, np.int64)])
+        new = np.zeros(len(suffix), bool)
+        new[0] = True
+        for k in range(length):
+            new[1:] |= padded[suffix[1:] + k] != padded[suffix[:-1] + k]
+        return np.append(np.flatnonzero(new), len(suffix)).astype(np.int32)
+
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        """The number of the run of each row."""
+        return np.searchsorted(self.starts, row, "right") - 1
+
+    def least_value(self, row: np.ndarray) -> np.ndarray:
+        """The least value of the sequences that have, anywhere, the first ``length`` symbols of each row."""
+        return self.kinds[self.least[self.run_of(row)]]
+
+    @property
+    def nbytes(self) -> int:
+        levels = sum(b.words.nbytes + b.before.nbytes for _, b, _ in self.bwt.levels)
+        return levels + self.bwt.start.nbytes + self.counts.nbytes + self.starts.nbytes + self.least.nbytes + self.kinds.nbytes
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of symbol + pattern, from the rows of the patterns: one step of backward search."""
@@ -78,24 +110,14 @@ class FMIndex:
 
     def search(self, pattern: np.ndarray) -> tuple[int, int]:
         """The rows of one pattern, of fewer than ``DEPTH`` words."""
-        low, high = np.zeros(1, np.int64), np.array([len(self.text)])
+        low, high = np.zeros(1, np.int64), np.array([self.size])
         for symbol in pattern[::-1]:
             if not 0 < symbol < len(self.counts) - 1 or high[0] <= low[0]:
                 return 0, 0
             low, high = self.extend(np.array([symbol]), low, high)
         return int(low[0]), int(high[0])
 
-    def groups(self, length: int) -> np.ndarray:
-        """Where, in the sorted suffixes, runs of equal first ``length`` symbols begin; the number of rows at the end."""
-        at = self.suffix
-        padded = np.concatenate([self.text, np.zeros(length, np.int64)])
-        new = np.zeros(len(at), bool)
-        new[0] = True
-        for k in range(length):
-            new[1:] |= padded[at[1:] + k] != padded[at[:-1] + k]
-        return np.append(np.flatnonzero(new), len(at))
-
-    def statistics_table(self, patterns: list[np.ndarray], length: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def statistics_table(self, patterns: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``matching_statistics`` as tables, a row a pattern, aligned at their ends: lengths, low and high rows; and the patterns' sizes."""
         sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
         most = int(sizes.max(initial=0))
@@ -103,7 +125,7 @@ class FMIndex:
         table[np.arange(most)[None, :] >= most - sizes[:, None]] = np.concatenate(patterns) if len(patterns) else 0
         out, lows, highs = (np.zeros((len(patterns), most), np.int64) for _ in range(3))
         size = np.zeros(len(patterns), np.int64)
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.text))
+        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size)
         for col in range(most - 1, -1, -1):
             live = np.flatnonzero(sizes >= most - col)
             symbol = table[live, col]
@@ -119,21 +141,21 @@ class FMIndex:
                     if x < y:
                         a[i], b[i], grown[i] = x, y, n
                         break
-            a, b = np.where(grown > 0, a, 0), np.where(grown > 0, b, len(self.text))
+            a, b = np.where(grown > 0, a, 0), np.where(grown > 0, b, self.size)
             cut = grown >= length
             if cut.any():
-                g = np.searchsorted(groups, a[cut], "right") - 1
-                a[cut], b[cut] = groups[g], groups[g + 1]
+                g = self.run_of(a[cut])
+                a[cut], b[cut] = self.starts[g], self.starts[g + 1]
             low[live], high[live], size[live] = a, b, np.minimum(grown, length)
             out[live, col], lows[live, col], highs[live, col] = size[live], a, b
         return out, lows, highs, sizes
 
     def matching_statistics(self, patterns: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """For each place of each pattern: the length of the longest match that starts there, up to ``length``, and its rows.
+        """For each place of each pattern: the length of the longest match that starts there, up to ``length`` (the index's), and its rows.
 
         Patterns are read backwards, all at once. A match of ``length`` words that grows by one in front is cut to its
         first ``length``: its rows are then those of the run of equal first ``length`` symbols. Where a match can't grow,
         shorter ones are searched from there.
         """
-        *tables, sizes = self.statistics_table(patterns, length, self.groups(length))
+        *tables, sizes = self.statistics_table(patterns, length)
         return tuple([t[i, t.shape[1] - int(n) :] for i, n in enumerate(sizes)] for t in tables)

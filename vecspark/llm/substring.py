@@ -11,8 +11,9 @@ else that moves is summed up by batch before.
    documents share.
 2. Runs of windows with one shared anchor are segments. A batch sends its distinct segments, with the least and
    greatest doc_id that have them, to the shard of their anchor.
-3. Each shard builds a compressed FM-index (``fm_index``) over its segments and streams them through it: matching
-   statistics by backward search give, for each window, all places of its words, and the least doc_id of these.
+3. Each shard builds a compressed FM-index (``fm_index``) over its distinct segments, ``SHARD`` words at a time, and streams
+   the documents' segments through it: matching statistics by backward search give, for each window, all places of its words, and
+   the index the least doc_id of these.
 4. The least ids return to the batches; windows with a smaller one than their document's are reported, and their
    words go.
 
@@ -21,8 +22,8 @@ windows go to shards one by one, by the hash of all their words. So an anchor, a
 documents have it, adds one entry a batch to any bucket and shard.
 
 Defined results: a null or empty text has no words; rows of one doc_id don't count as earlier for each other, each
-row gets a row; rows with null ids keep all words and remove none elsewhere; an empty table gives no rows; other
-columns of the input are kept by ``without_repeats``.
+row gets a row; rows with null ids keep all words and remove none elsewhere; rows of one doc_id and one text meet in one
+batch, however many; an empty table gives no rows; other columns of the input are kept by ``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ HOT = 2_000
 SEGMENT, SHARD = 32, 400_000
 #: Bytes of input of a batch; bits of an anchor, and bytes.
 BATCH_BYTES, BITS, WIDTH = 1 << 20, 48, 6
-#: Buckets, and shards: one for so many bytes of input, but ``PLACES`` on smaller ones (or four a partition), as each
-#: batch sends each of them a message.
-PLACE_BYTES, PLACES = 16 << 20, 256
+#: Buckets, and shards: one for so many bytes of input, whatever the session's settings, but ``PLACES`` on smaller ones, as
+#: each batch sends each of them a message. Bytes of input of a shuffle's partition, where that takes more partitions than are set.
+PLACE_BYTES, PLACES, PART_BYTES = 16 << 20, 256, 256 << 20
 #: What moves between batches, buckets and shards: where to, from or for which batch, what it is, and up to five arrays.
 MESSAGE = "dest int, batch int, kind int, a binary, b binary, c binary, d binary, e binary"
 NAMES = tuple("abcde")
@@ -215,14 +216,13 @@ def least_ids(contents: list[bytes], docs: np.ndarray) -> tuple[list[np.ndarray]
     flat = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     ends = np.cumsum([c.count(b" ") + 1 for c in contents])
     sequences = np.split(flat, ends[:-1])
-    index = FMIndex(sequences, len(number))
-    starts = index.groups(WINDOW)
-    length, low, high, sizes = index.statistics_table(sequences, WINDOW, starts)
+    index = FMIndex(sequences, len(number), WINDOW, docs)
+    length, low, high, sizes = index.statistics_table(sequences, WINDOW)
     places = np.arange(length.shape[1])[None, :]
     windows = (places >= length.shape[1] - sizes[:, None]) & (places <= length.shape[1] - WINDOW)
     if not ((length[windows] == WINDOW) & (low[windows] < high[windows])).all():
         raise AssertionError("a segment isn't found in its own index")
-    least = np.minimum.reduceat(docs[index.owner], starts[:-1])[np.searchsorted(starts, low[windows], "right") - 1]
+    least = index.least_value(low[windows])
     firsts = np.concatenate([[0], np.cumsum(sizes - WINDOW + 1)])
     return np.split(least, firsts[1:-1]), np.minimum.reduceat(least, firsts[:-1])
 
@@ -299,13 +299,18 @@ def _with_windows(docs: DataFrame, run: Callable, schema) -> DataFrame:
     ship(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(docs)
-    n, places = max(2 * parts, size // BATCH_BYTES + 1), min(4 * parts, max(PLACES, size // PLACE_BYTES))
+    n, places = max(2 * parts, size // BATCH_BYTES + 1), max(PLACES, size // PLACE_BYTES)
     own = free("_batch", docs)
-    dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    batches = dealt.groupBy(own)
-    shared = batches.applyInArrow(_anchors_of(places), MESSAGE).groupBy("dest").applyInArrow(_shared, MESSAGE)
-    sent = batches.cogroup(shared.groupBy("batch")).applyInArrow(_segments_of(places), MESSAGE)
-    found = sent.groupBy("dest").applyInArrow(_search, MESSAGE)
+    more = min(200_000, size // PART_BYTES)
+
+    def by(rows: DataFrame, key: str):
+        """Rows by key; a partition has many keys, one of which is held at a time."""
+        return (rows.repartition(more, key) if more > parts else rows).groupBy(key)
+
+    batches = by(docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), own)
+    shared = by(batches.applyInArrow(_anchors_of(places), MESSAGE), "dest").applyInArrow(_shared, MESSAGE)
+    sent = batches.cogroup(by(shared, "batch")).applyInArrow(_segments_of(places), MESSAGE)
+    found = by(sent, "dest").applyInArrow(_search, MESSAGE)
 
     def last(key, table, replies):
         windows: list[list[int]] = [[] for _ in range(table.num_rows)]
@@ -315,7 +320,7 @@ def _with_windows(docs: DataFrame, run: Callable, schema) -> DataFrame:
                 windows[row] = own
         return run(table, windows)
 
-    return batches.cogroup(found.groupBy("batch")).applyInArrow(last, schema)
+    return batches.cogroup(by(found, "batch")).applyInArrow(last, schema)
 
 
 def substring(docs: DataFrame) -> DataFrame:
