@@ -1,9 +1,11 @@
 """Queries of the subpackage against their SQL, and edge rows of the tables that SQL can state."""
 
+import textwrap
+
 import pytest
 
 from tests.oracle import same
-from vecspark.llm import quality, queries
+from vecspark.llm import license_scan, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,6 +19,8 @@ TEXTS = [
     None, "", " \t\n\x0b\x0c\r", "one", "a b c d e a b c d e f", "x " * 30, "A\nA\nA\n \nB", "é ü\u00a0ß ### || $$", "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG AGAIN",
     "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14",
     "Licensed under CC BY-NC 4.0.\nReleased under the MIT License. All rights reserved.", "long " * 20_000,
+    *(" \r\n# ".join(textwrap.wrap("Before. " + " ".join(license_scan.SENTENCES[i] for i in seq) + " After.", width)) for width, (_, seq) in zip((20, 40, 60, 72, 78, 500) * 9, license_scan.RULES)),
+    "Released under\n\nthe MIT License.", "Released under \n * \n the MIT License.", "All rights . : reserved. \t", "Released under the MIT. \r License. ", "SPDX-License-Identifier: GPL-2.0-only\nAll rights reserved.  \n All rights\treserved",
     " ".join(f"v{i}" for i in range(40)) + " w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w0",
 ]
 
@@ -52,6 +56,15 @@ def test_empty_tables_give_no_rows(spark, tmp_path, name):
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
 
 
+def test_licences_of_wrapped_rules(spark):
+    """Each rule's own text, wrapped and behind marks, gives its licence; no two sentences are alike."""
+    assert len(license_scan.KNOWN) == len(license_scan.SENTENCES)
+    texts = ["\n// ".join(textwrap.wrap("Before. " + " ".join(license_scan.SENTENCES[i] for i in seq), 60)) for _, seq in license_scan.RULES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.licences for r in license_scan.license_scan(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == [name for name, _ in license_scan.RULES]
+
+
 def test_passing_keeps_rows_and_columns(spark, odd_tables):
     docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
     kept = quality.passing(docs)

@@ -43,13 +43,40 @@ SENTENCES = {
     "cc-by-sa4": "Licensed under CC BY-SA 4.0.",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "reserved": "All rights reserved.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "boost-short": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-nd4": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa4": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd4": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by4-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
 
+#: Licences stated by a line with their short name.
+SHORT_NAMES = ("0BSD", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in SHORT_NAMES}
+
 #: Ordered rules: licence and the sequence of identifiers that states it. Longer statements come first.
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-copy", "apache-basis", "apache-see")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-details")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-details")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-grant",)),
@@ -63,6 +90,24 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa4",)),
     ("CC-BY-4.0", ("cc-by4",)),
     ("CC0-1.0", ("cc0",)),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("BSL-1.0", ("boost-short",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd4",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa4",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd4",)),
+    ("CC-BY-4.0", ("cc-by4-long",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa4-long",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc4-long",)),
+    *((name, (f"spdx-{name}",)) for name in SHORT_NAMES),
     ("all-rights-reserved", ("reserved",)),
 )
 
@@ -127,7 +172,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """Pieces between doubled bars, so that each match takes one bar of its own on either side."""
     known = ", ".join(f"('{k}', '{v}')" for k, v in KNOWN.items())
+    pattern = "\\|(?:" + "|".join(k.replace(" ", "(?: |\\|\\|)") for k in sorted(KNOWN, key=len, reverse=True)) + ")\\|"
     steps, last = [], "s"
     for i, (name, seq) in enumerate(RULES):
         key = "|" + "||".join(seq) + "|"
@@ -135,10 +182,13 @@ def _sql() -> str:
         last = f"r{i}"
     return rf"""
     WITH k(plain, id) AS (VALUES {known}),
-    d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS lines FROM documents),
-    u AS (SELECT rid, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
-    h AS (SELECT rid, list(k.id ORDER BY i) AS ids FROM u JOIN k ON k.plain = trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ') GROUP BY rid),
-    s AS (SELECT rid, doc_id, len(lines)::BIGINT AS n_sentences, coalesce(len(ids), 0)::BIGINT AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids, '|' || coalesce(array_to_string(ids, '||'), '') || '|' AS rest, []::VARCHAR[] AS found FROM d LEFT JOIN h USING (rid)),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (SELECT rid, doc_id, len(string_split(regexp_replace(text, '([.!?:])[ \t]+', '\1' || chr(10), 'g'), chr(10)))::BIGINT AS n_sentences, regexp_replace(regexp_replace(text, '[ \t]+([\r\n]|$)', '\1', 'g'), '([.!?:])[ \t]+', '\1' || chr(10), 'g') AS cut FROM d),
+    l AS (SELECT rid, doc_id, n_sentences, regexp_replace(translate(cut, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\n]+', ' ', 'g') AS plain FROM n),
+    b AS (SELECT rid, doc_id, n_sentences, regexp_extract_all('||' || regexp_replace(plain, '^ | $| ?\n ?', '||', 'g') || '||', '{pattern}') AS found FROM l),
+    u AS (SELECT rid, unnest(found) AS found, unnest(range(len(found))) AS i FROM b),
+    h AS (SELECT rid, list(k.id ORDER BY i) AS ids FROM u JOIN k ON k.plain = replace(found[2:-2], '||', ' ') GROUP BY rid),
+    s AS (SELECT rid, doc_id, n_sentences, coalesce(len(ids), 0)::BIGINT AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids, '|' || coalesce(array_to_string(ids, '||'), '') || '|' AS rest, []::VARCHAR[] AS found FROM b LEFT JOIN h USING (rid)),
     {", ".join(steps)}
     SELECT doc_id, n_sentences, n_known, sentence_ids, coalesce(array_to_string(list_sort(list_distinct(found)), ','), '') AS licences FROM {last}
     """
