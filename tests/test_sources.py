@@ -29,6 +29,25 @@ def test_raw_files(spark, tmp_path, dtype):
     assert {r.id: len(r.vec) for r in T.strided_vectors(spark, path, dtype, 5, sizes).collect()} == {1: 2, 2: 5}
 
 
+@pytest.mark.parametrize("dtype", ["uint8", "int32", "int64", "float32"])
+def test_written_raw_files(spark, tmp_path, dtype):
+    """The files' bytes are the rows' and nothing else, in order, also for partitions without rows; nulls raise."""
+    big = 2**60 + 1 if dtype == "int64" else 100
+    rows = [(i, [float(i), float(i % 7)], big) for i in range(50)]
+    frame = spark.createDataFrame(rows, "n int, vec array<double>, big bigint").repartitionByRange(5, "n").sortWithinPartitions("n")
+    path = f"file:{tmp_path}/raw"
+    names = T.write_raw(frame.where("n > 12"), path, dtype, ["n", "vec", "big"])
+    want = [np.array([r[0], *r[1], 0]).astype(dtype) for r in rows[13:]]
+    for w in want:
+        w[3] = big
+    assert b"".join((tmp_path / "raw" / n).read_bytes() for n in names) == b"".join(w.tobytes() for w in want)
+    files = T.raw_files(spark, path)
+    assert T.record_count(spark, files, want[0].nbytes) == 37
+    assert {r.id: r.vec for r in T.raw_vectors(spark, files, dtype, 4).collect()} == {i: w.tolist() for i, w in enumerate(want)}
+    with pytest.raises(Exception, match="nulls in n"):
+        T.write_raw(spark.createDataFrame([(None,)], "n int"), path, dtype, ["n"])
+
+
 def test_saved_tables(spark, tmp_path):
     base = T.floats(spark, SF)
     T.save_tables(str(tmp_path), {"base": base, "few": base.limit(3)}, {"d": 64})

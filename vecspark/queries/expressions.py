@@ -119,9 +119,14 @@ def casts(spark, sf_dir):
     return texts(T.integers(spark, sf_dir).select("id", F.transform("vec", lambda x: F.floor(x.cast("float").cast("double") / 2)).alias("halves")), "halves")
 
 
-@query("half_precision")
+_STEP = "pow(2.0e0, greatest(floor(log2(abs(x))), -14) - 10)"
+
+
+@query("half_precision", sql(f"SELECT id, place::INTEGER AS place, CASE WHEN x = 0 THEN 0.0e0 ELSE round_even(x / {_STEP}, 0) * {_STEP} + 0.0e0 END AS value FROM (SELECT id, unnest(range(len(vec))) AS place, unnest(vec) AS x FROM f)"))
 def half_precision(spark, sf_dir):
-    return T.floats(spark, sf_dir).select("id", F.transform("vec", V.round_half).alias("vec"))
+    """id, place, value: a row an element."""
+    rounded = T.floats(spark, sf_dir).select("id", F.posexplode(F.transform("vec", V.round_half)).alias("place", "value"))
+    return rounded.withColumn("value", F.col("value") + F.lit(0.0))
 
 
 @query("nan_policy", sql("SELECT id, list_aggregate(list_transform(vec, lambda x: CASE WHEN x = 128 THEN 1 ELSE 0 END), 'max') = 1 AS has_nan FROM v"))

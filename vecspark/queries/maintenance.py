@@ -89,5 +89,5 @@ def raw_file_round_trip(spark, sf_dir):
     path = new_path(spark, "raw")
     rows = T.integers(spark, sf_dir).select("id", "vec").withColumn("vec", F.concat(F.array("id"), "vec"))
     T.write_raw(rows, path, "int32", ["vec"])
-    back = T.read_raw_parts(spark, path, "int32", 65)
-    return back.select(F.get("vec", 0).cast("bigint").alias("id"), F.aggregate(F.slice("vec", 2, 64), F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("total"))
+    back = T.raw_vectors(spark, T.raw_files(spark, path), "int32", 65)
+    return back.select(F.get("vec", 0).alias("id"), F.aggregate(F.slice("vec", 2, 64), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))

@@ -94,12 +94,30 @@ def platform_roofs(spark, sf_dir):
     return out.withColumn("reachable", F.round("reachable", 4))
 
 
-@query("phase_latency")
+def _unit(work: str, close: str, distant: str) -> str:
+    """Seconds of a phase on 2543 units: its operations, or its bytes in near and far memory."""
+    near, far = "(2543 * 1612.56e0 * 1048576 / (484.051e0 / 112.368e0))", "(2543 * 573.79e0 * 1048576)"
+    return f"greatest(({work}) / (450.0e6 * 2543), ({close}) / {near} + ({distant}) / {far})"
+
+
+_PHASES = f"""c AS (SELECT name, n::BIGINT AS n, dim AS d, 10.0e0 AS k, p, n / l AS c, 16.0e0 AS m, 256.0e0 AS cb, 10000.0e0 AS q, p / 2543 AS pu, l, ceil(dim / 8) AS vector
+ FROM s, (VALUES (8192e0, 96e0), (16384e0, 32e0), (16384e0, 64e0), (16384e0, 96e0), (16384e0, 128e0), (32768e0, 96e0), (65536e0, 96e0)) w(l, p) WHERE name IN ('SIFT100M', 'DEEP100M')),
+t AS (SELECT *, greatest(q * ceil(n / c) * (5 * vector + 2 * ln(p) - 1) / (2.4e9 * 64), least(n * m, q * ceil(n / c) * (2 * d + 5 * (ln(p) + 1))) / (19.2e0 * 1073741824)) AS cl,
+ {_unit("4 * q * pu * d", "2 * q * pu * d", "2 * q * pu * d")} AS rc,
+ 1.6e0 * {_unit("q * pu * cb * (3 * d - m + 2 * m + 4 * d)", "q * pu * cb * 4 * (m + d)", "q * pu * cb * d")} AS lc,
+ 1.34e0 * {_unit("q * pu * c * 3 * m", "q * pu * c * 4 * (m + 1)", "q * pu * c * m")} AS dc,
+ {_unit("q * pu * c * 2 * ln(k) + q * k", "q * pu * c * (ln(k) + 1) * 8", "q * k * 8")} AS ts FROM c)"""
+_LATENCY = f"""WITH {_SETS}, {_PHASES} SELECT name, n AS "N", d::INTEGER AS "D", k::INTEGER AS "K", p::INTEGER AS "P", round(c, 6) AS "C", m::INTEGER AS "M", cb::INTEGER AS "CB", q::INTEGER AS "Q", round(pu, 6) AS "P_unit", l::INTEGER AS nlist,
+ round(cl, 6) AS "t_CL", round(rc, 6) AS "t_RC", round(lc, 6) AS "t_LC", round(dc, 6) AS "t_DC", round(ts, 6) AS "t_TS", round(greatest(cl, rc + lc + dc + ts), 6) AS t_total, round(q / greatest(cl, rc + lc + dc + ts), 3) AS qps FROM t"""
+
+
+@query("phase_latency", _LATENCY)
 def phase_latency(spark, sf_dir):
     """The model over the stated sweeps: lists at 96 probes, probes at 16,384 lists."""
     rows = [(name, n, d, 10, p, n / lists, 16, 256, 10000, p / 2543, lists) for name, d, n in SETS[4:] for lists, p in ((8192, 96), (16384, 32), (16384, 64), (16384, 96), (16384, 128), (32768, 96), (65536, 96))]
     configs = spark.createDataFrame([(a, b, c, k, p, float(s), m, cb, q, float(u), l) for a, b, c, k, p, s, m, cb, q, u, l in rows], "name string, N bigint, D int, K int, P int, C double, M int, CB int, Q int, P_unit double, nlist int")
-    return models.performance(configs)
+    out = models.performance(configs)
+    return out.withColumns({c: F.round(c, 3 if c == "qps" else 6) for c in out.columns if c in ("C", "P_unit", "qps") or c.startswith("t_")})
 
 
 _LOG = [
@@ -125,7 +143,11 @@ def run_throughput(spark, sf_dir):
     return models.throughput(models.run_log(_log(spark)), 10000, {"dataset": "sift100m", "nprobe": 96}, "nlist")
 
 
-@query("phase_cycles")
+_CYCLES = lambda far, near: f"(({far} / (573.79e0 * 1048576) + {near} / (1612.56e0 * 1048576)) * 350.0e6)"
+
+
+@query("phase_cycles", f"""SELECT d::INTEGER AS d, ceil(d * ({_CYCLES(2, 2)} + 1))::BIGINT AS residual, ceil(256 * (d * ({_CYCLES(1, 3)} + 1) + d - 16))::BIGINT AS tables,
+ ceil(16 * {_CYCLES(1, 5)} + 15)::BIGINT AS distance, ceil(({_CYCLES(0, 8)} + 1) * log2(10) + {_CYCLES(0, 4)})::BIGINT AS sorting FROM (VALUES (96), (128)) t(d)""")
 def phase_cycles(spark, sf_dir):
     """Cycles of each phase by the ideal cost model, for the two stated dimensions."""
     rows = [(d, c.residual, c.tables, c.distance, c.sorting) for d in (96, 128) for c in [L.Costs.ideal(d, 16, 256, 10)]]

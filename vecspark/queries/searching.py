@@ -41,10 +41,10 @@ def _knn_metric(name: str, metric: Metric, expression: str, whole: bool = False,
     pairs = f"SELECT q.query_id, v.id, {expression} AS dist FROM q, v"
     ranked = top(pairs, K, metric.similarity)
 
-    @query(f"knn_{name}", sql(ranked if whole else f"SELECT query_id, rank, id, round(dist, 6) AS dist FROM ({ranked})") if name != "jensen_shannon" else None)
+    @query(f"knn_{name}", sql(ranked if whole else f"SELECT query_id, rank, id, round(dist, 6) + 0.0 AS dist FROM ({ranked})"))
     def run(spark, sf_dir):
         out = S.knn(*_both(spark, sf_dir), K, metric, p)
-        return _whole(out) if whole else out.withColumn("dist", F.round("dist", 6))
+        return _whole(out) if whole else out.withColumn("dist", F.round("dist", 6) + F.lit(0.0))
 
 
 _knn_metric("l1", Metric.L1, fold("abs({a} - {b})", "q.vec", "v.vec"), True)
@@ -52,12 +52,8 @@ _knn_metric("linf", Metric.LINF, "list_max(list_transform(list_zip(q.vec, v.vec)
 _knn_metric("lp4", Metric.LP, fold("({a} - {b}) * ({a} - {b}) * ({a} - {b}) * ({a} - {b})", "q.vec", "v.vec"), True, 4.0)
 _knn_metric("bray_curtis", Metric.BRAY_CURTIS, f"{fold('abs({a} - {b})', 'q.vec', 'v.vec')}::DOUBLE / {fold('{a} + {b}', 'q.vec', 'v.vec')}")
 _knn_metric("jaccard", Metric.JACCARD, f"{fold('least({a}, {b})', 'q.vec', 'v.vec')}::DOUBLE / {fold('greatest({a}, {b})', 'q.vec', 'v.vec')}")
-_knn_metric("jensen_shannon", Metric.JENSEN_SHANNON, "0")
-
-
-@query("knn_canberra")
-def knn_canberra(spark, sf_dir):
-    return S.knn(*_both(spark, sf_dir), K, Metric.CANBERRA).withColumn("dist", F.round("dist", 6))
+_knn_metric("jensen_shannon", Metric.JENSEN_SHANNON, "0.5 * " + fold("(-{a} * ln(({a} + {b}) / 2.0e0 / {a})) + (-{b} * ln(({a} + {b}) / 2.0e0 / {b}))", "q.vec", "v.vec", "DOUBLE"))
+_knn_metric("canberra", Metric.CANBERRA, fold("CASE WHEN {a} + {b} = 0 THEN 'NaN'::DOUBLE ELSE abs({a} - {b})::DOUBLE / ({a} + {b}) END", "q.vec", "v.vec", "DOUBLE"))
 
 
 @query("knn_selected", sql(top(PAIRS + " WHERE v.id % 2 = 1 AND v.id < 300", K)))

@@ -18,7 +18,7 @@ from vecspark.plans import graph, kmeans, transforms as X, tuning
 from vecspark.plans.factory import binary_index, vector_index
 from vecspark.plans.index import TRAIN_ROWS, VectorIndex, product_modes
 from vecspark.queries.searching import K, _both
-from vecspark.queries.sql import joined, l2, sql, texts, top
+from vecspark.queries.sql import fold, joined, l2, sql, texts, top
 from vecspark.registry import query
 from vecspark.sources import tables as T
 
@@ -32,19 +32,20 @@ def built(spark, sf_dir, description: str, metric: Metric = Metric.L2, nprobe: i
     return index.train(base).add(base)
 
 
-def _indexes(name: str, *descriptions: str, metric: Metric = Metric.L2, nprobe: int = 8, k_factor: float | None = None) -> None:
+def _indexes(name: str, *descriptions: str, metric: Metric = Metric.L2, nprobe: int = 8, k_factor: float | None = None, text: str | None = None) -> None:
     """Searches probe and rescore as much as it takes to find nine of ten true neighbours; tests measure just these settings."""
 
-    @query(f"index_{name}")
+    @query(f"index_{name}", text)
     def run(spark, sf_dir):
         queries, out = T.as_queries(T.floats(spark, sf_dir)), None
         for d in descriptions:
             found = built(spark, sf_dir, d, metric, nprobe, k_factor).search(queries, K).drop("list_no").withColumn("index_name", F.lit(d))
             out = found if out is None else out.unionByName(found)
-        return out
+        return out.withColumn("dist", F.round("dist", 6)) if text else out
 
 
-_indexes("flat", "Flat", "Flat,IDMap")
+_FLAT = top(f"SELECT fq.query_id, f.id, {fold('({a} - {b}) * ({a} - {b})', 'fq.vec', 'f.vec', 'DOUBLE')} AS dist FROM fq, f", K)
+_indexes("flat", "Flat", "Flat,IDMap", text=sql(f"SELECT query_id, rank, id, round(dist, 6) AS dist, index_name FROM ({_FLAT}), (VALUES ('Flat'), ('Flat,IDMap')) n(index_name)"))
 _indexes("ivf_flat", "IVF16,Flat", "IVF16,FlatDedup", "IVF16_HNSW32,Flat", "IVF16_NSG32,Flat", nprobe=12)
 _indexes("ivf_inner_product", "IVF16,Flat", "IVF16,SQ8", metric=Metric.INNER_PRODUCT, nprobe=12)
 _indexes("ivfpq", "IVF16,PQ16x6,RFlat", "IVF16,PQ8x6,Refine(SQ8)", nprobe=14, k_factor=20)

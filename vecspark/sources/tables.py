@@ -65,36 +65,66 @@ def strided_vectors(spark: SparkSession, path: str, dtype: str, stride: int, siz
     return rows.join(sizes.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", F.slice("vec", 1, F.col("n")).alias("vec"))
 
 
-def write_raw(df: DataFrame, path: str, dtype: str, columns: list[str]) -> None:
-    """Writes the columns (numbers or arrays of them) of each row, in order of the frame, as records without header.
+def write_raw(df: DataFrame, path: str, dtype: str, columns: list[str]) -> list[str]:
+    """Writes the columns (numbers, or arrays of one length) of each row, in order of the frame, as records without header.
 
-    One file a partition, named by its number, as row order needs; ``raw_vectors`` reads the folder.
+    One file a partition, ``part-000000`` and so on, put together by Arrow batches, whatever its size; ``raw_files`` reads
+    the folder in that order. ``path`` is a folder that the executors share; what lies there is deleted. A task writes under a
+    name of its own and renames at its end, so that a lost or repeated one leaves no half file. Nulls raise an error; a
+    partition without rows gives an empty file, a frame without partitions an empty folder.
     """
 
-    def records(index, rows):
-        import numpy as np
-
-        data = b"".join(np.hstack([np.ravel(r[c]) for c in columns]).astype(np.dtype(dtype).newbyteorder("<")).tobytes() for r in rows)
-        yield index, data
-
-    parts = df.rdd.mapPartitionsWithIndex(records)
-    df.sparkSession.createDataFrame(parts.map(lambda x: (x[0], bytearray(x[1]))), "part int, data binary").write.mode("overwrite").parquet(path)
-
-
-def read_raw_parts(spark: SparkSession, path: str, dtype: str, dim: int) -> DataFrame:
-    """The rows that ``write_raw`` wrote: part, row in it, values."""
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
-
-        for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                values = np.frombuffer(data, np.dtype(dtype).newbyteorder("<")).astype(np.float64)
-                n = len(values) // dim
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(values))], ["part", "row", "vec"])
-
-    return spark.read.parquet(path).mapInArrow(run, "part int, row bigint, vec array<double>")
+        from pyspark import TaskContext
+
+        task, written = TaskContext.get(), 0
+        kind = np.dtype(dtype).newbyteorder("<")
+        files, at = _arrow_files(path)
+        name, own = f"part-{task.partitionId():06d}", f"{at}/_part-{task.taskAttemptId()}"
+        with files.open_output_stream(own) as out:
+            for batch in batches:
+                parts = []
+                for c in columns:
+                    values = batch.column(c)
+                    flat = values.flatten() if pa.types.is_list(values.type) else values
+                    if values.null_count or flat.null_count:
+                        raise ValueError(f"nulls in {c}")
+                    if len(values):
+                        parts.append(flat.to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(kind))
+                if parts:
+                    out.write(np.hstack(parts).tobytes())
+                    written += len(batch)
+        files.move(own, f"{at}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([written])], ["name", "n"])
+
+    folder, files = _hadoop_files(df.sparkSession, path)
+    files.delete(folder, True)
+    files.mkdirs(folder)
+    return sorted(r.name for r in df.select(*columns).mapInArrow(run, "name string, n bigint").collect())  # a row a partition
+
+
+def raw_files(spark: SparkSession, path: str) -> str:
+    """The files of a folder in order of their names, as ``raw_vectors`` and ``record_count`` take them."""
+    folder, files = _hadoop_files(spark, path)
+    return ",".join(sorted(f.getPath().toString() for f in files.listStatus(folder) if not f.getPath().getName().startswith("_")))
+
+
+def _hadoop_files(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def _arrow_files(path: str):
+    """Arrow's file system for a path as Hadoop writes it, where ``file:/x`` is a local one."""
+    from pyarrow import fs
+
+    local = path.removeprefix("file:")
+    if "://" in local:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + local.lstrip("/")
 
 
 def uniform(spark: SparkSession, n: int, d: int, seed: int = 1234) -> DataFrame:
