@@ -113,6 +113,16 @@ def test_indexes_find_nine_of_ten(spark, text):
     assert intersection(found, S.knn(queries, base, 10), 10).first()[0] >= 0.9
 
 
+def test_second_level_codes_what_the_first_leaves():
+    x = np.random.default_rng(3).normal(size=(600, 16))
+    codec = vector_index(16, "IVF4,PQ4x4+8x5").codec.train(x)
+    codes = codec.encode(x)
+    assert codes.shape == (600, 12) and codes[:, :4].max() < 16 and codes[:, 4:].max() < 32
+    first = codec.first.decode(codes[:, :4])
+    assert np.allclose(codec.decode(codes) - first, codec.second.decode(codec.second.encode(x - first)))
+    assert ((x - codec.decode(codes)) ** 2).sum() < 0.5 * ((x - first) ** 2).sum()
+
+
 REGISTERED = ("flat", "ivf_flat", "ivf_inner_product", "ivfpq", "scalar", "product", "additive", "coarse_additive", "transformed", "hashed", "lattice", "graph")
 
 

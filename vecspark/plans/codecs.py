@@ -280,6 +280,30 @@ class Split:
         return np.hstack([c.decode(p) for c, p in zip(self.codecs, np.split(codes, self.parts, 1), strict=True)])
 
 
+@dataclass
+class TwoLevel:
+    """Product codes, and product codes of what these leave. Vectors are compared with the sum of both levels."""
+
+    first: Product
+    second: Product
+
+    @property
+    def bits(self) -> int:
+        return max(self.first.bits, self.second.bits)
+
+    def train(self, x: np.ndarray) -> TwoLevel:
+        self.first.train(x)
+        self.second.train(x - self.first.decode(self.first.encode(x)))
+        return self
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        own = self.first.encode(x)
+        return np.hstack([own, self.second.encode(x - self.first.decode(own))])
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.first.decode(codes[:, : self.first.m]) + self.second.decode(codes[:, self.first.m :])
+
+
 @dataclass
 class RowRange:
     """Each row scaled to 0..1 by its own least and greatest element (kept in half precision or full), then coded."""

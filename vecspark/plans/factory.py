@@ -5,7 +5,7 @@ values of the format:
 
 * transforms ``PCA[W][R]n L2norm RRn ITQn OPQm_d Padn``
 * coarse ``IVFn`` (also ``IVFn_HNSWm`` and ``IVFn_NSGr``: the lists are found exactly), ``IMI2xb``, ``IVFn(RCQmxb)``
-* codes ``Flat SQ4 SQ6 SQ8 SQfp16 PQm[xb][np] PQmx4fs[r] RQmxb LSQmxb PRQpxmxb PLSQpxmxb LSH[r][t] ZnLatticepxr2_b``,
+* codes ``Flat SQ4 SQ6 SQ8 SQfp16 PQm[xb][np] PQm[xb]+r[xb] PQmx4fs[r] RQmxb LSQmxb PRQpxmxb PLSQpxmxb LSH[r][t] ZnLatticepxr2_b``,
   ``Residualn`` (two layers: a coarse quantizer and a product codec), ``FlatDedup``, ``ITQ,SH`` and ``RowMin`` wrappers
 * graphs ``HNSWm NSGr`` with codes behind them (``HNSW32,SQ8``), in place of a coarse quantizer: see ``graph_index``
 * wrappers ``RFlat Refine(codes) IDMap IDMap2``
@@ -61,6 +61,8 @@ def codec_of(text: str, d: int):
         return C.Scalar({"4": "4bit", "6": "6bit", "8": "8bit", "fp16": "fp16", "8_direct": "8bit_direct"}[m[1]])
     if m := re.fullmatch(r"PQ(\d+)(?:x(\d+))?(?:fsr?|np|fs_\d+)?", text):
         return C.Product(int(m[1]), int(m[2] or 8))
+    if m := re.fullmatch(r"PQ(\d+)(?:x(\d+))?\+(\d+)(?:x(\d+))?", text):
+        return C.TwoLevel(C.Product(int(m[1]), int(m[2] or 8)), C.Product(int(m[3]), int(m[4] or 8)))
     if m := re.fullmatch(r"R?C?(RQ|LSQ)(\d+)x(\d+)(?:fsr?)?", text):
         return (C.Residual if m[1] == "RQ" else C.LocalSearch)(int(m[2]), int(m[3]))
     if m := re.fullmatch(r"P(RQ|LSQ)(\d+)x(\d+)x(\d+)(?:fsr?)?", text):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vecspark.operators import search as S
 from vecspark.operators.aggregate import deduplicated
 from vecspark.operators.search import Best, Metric, blockwise, distances, matrix, paired, query_blocks, ranked
-from vecspark.plans.codecs import Flat, Product
+from vecspark.plans.codecs import Flat, Product, TwoLevel
 from vecspark.plans.kmeans import LOCAL_BYTES, MAX_POINTS, KMeans, nearest, rows_of, sample
 from vecspark.plans.transforms import chained
 from vecspark.sources.shared import ship
@@ -107,7 +107,7 @@ class VectorIndex:
     @property
     def code_type(self) -> str:
         """What a code is an array of: two bytes a part for product codes, which Parquet packs to the bits they need."""
-        return "smallint" if isinstance(self.codec, Product) and self.codec.bits < 16 else "double"
+        return "smallint" if isinstance(self.codec, (Product, TwoLevel)) and self.codec.bits < 16 else "double"
 
     @property
     def _coarse_metric(self) -> Metric:

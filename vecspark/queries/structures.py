@@ -48,7 +48,7 @@ _FLAT = top(f"SELECT fq.query_id, f.id, {fold('({a} - {b}) * ({a} - {b})', 'fq.v
 _indexes("flat", "Flat", "Flat,IDMap", text=sql(f"SELECT query_id, rank, id, round(dist, 6) AS dist, index_name FROM ({_FLAT}), (VALUES ('Flat'), ('Flat,IDMap')) n(index_name)"))
 _indexes("ivf_flat", "IVF16,Flat", "IVF16,FlatDedup", "IVF16_HNSW32,Flat", "IVF16_NSG32,Flat", nprobe=12)
 _indexes("ivf_inner_product", "IVF16,Flat", "IVF16,SQ8", metric=Metric.INNER_PRODUCT, nprobe=12)
-_indexes("ivfpq", "IVF16,PQ16x6,RFlat", "IVF16,PQ8x6,Refine(SQ8)", nprobe=14, k_factor=20)
+_indexes("ivfpq", "IVF16,PQ16x6,RFlat", "IVF16,PQ8x6,Refine(SQ8)", "IVF16,PQ16+32", nprobe=14, k_factor=20)
 _indexes("scalar", "SQ8", "SQ6", "SQ4,RFlat", "SQfp16", "IVF16,SQ8", nprobe=14)
 _indexes("product", "PQ16x6,RFlat", "PQ32x4fs,RFlat", "IVF16,PQ32x4fs,RFlat", nprobe=14, k_factor=12)
 _indexes("additive", "RQ8x5,RFlat", "LSQ8x5,RFlat", "PRQ4x2x5,RFlat", "PLSQ4x2x5,RFlat", "IVF8,RQ8x5,RFlat", k_factor=32)
@@ -65,7 +65,7 @@ def index_lossy(spark, sf_dir):
     base = T.floats(spark, sf_dir)
     queries = T.as_queries(base)
     truth, out = S.knn(queries, base, K), None
-    for d in ("IVF16,PQ16x6", "SQ4", "LSH", "ITQ32,SH0.3", "PCAW32,Flat", "RQ8x5"):
+    for d in ("IVF16,PQ16x6", "IVF16,PQ16x6+32x6", "SQ4", "LSH", "ITQ32,SH0.3", "PCAW32,Flat", "RQ8x5"):
         share = intersection(built(spark, sf_dir, d, nprobe=16).search(queries, K), truth, K).select(F.lit(d).alias("index_name"), F.col("share").alias("recall"))
         out = share if out is None else out.unionByName(share)
     return out
