@@ -113,6 +113,23 @@ def test_indexes_find_nine_of_ten(spark, text):
     assert intersection(found, S.knn(queries, base, 10), 10).first()[0] >= 0.9
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e6, 1e150])
+def test_products_lose_no_neighbour(shift):
+    """Far from the origin, where products lose all digits, with equal rows, NaN and infinity: as by differences."""
+    rng = np.random.default_rng(5)
+    q, b = rng.normal(size=(7, 12)) + shift, rng.normal(size=(300, 12)) + shift
+    b[40:60], b[3, 2], b[4, 1], q[6, 0] = b[10], np.nan, np.inf, np.nan
+    exact, made = S.Best(7, 9, False), S.Best(7, 9, False)
+    ids = rng.permutation(300)
+    with np.errstate(all="ignore"):
+        for i in range(0, 300, 100):
+            exact.add(S.distances(S.Metric.L2, q, b[i : i + 100]), ids[i : i + 100])
+            x, y = S.near_rows(q, b[i : i + 100], 9, made.worst)
+            made.add_rows(x, S.paired(S.Metric.L2, q[x], b[i + y]), ids[i + y])
+    assert len(made.id) == 6 * 9
+    assert (made.query == exact.query).all() and (made.id == exact.id).all() and (made.dist == exact.dist).all()
+
+
 def test_second_level_codes_what_the_first_leaves():
     x = np.random.default_rng(3).normal(size=(600, 16))
     codec = vector_index(16, "IVF4,PQ4x4+8x5").codec.train(x)

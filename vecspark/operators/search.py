@@ -73,6 +73,21 @@ def paired(metric: Metric, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([distances(metric, x[i : i + 1], y[i : i + 1])[0, 0] for i in range(len(x))])
 
 
+def near_rows(q: np.ndarray, b: np.ndarray, k: int, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in q and b of all pairs that may be among the k nearest by L2 and within ``worst`` of each query.
+
+    A matrix product gives distances that are off by rounding; ``slack`` bounds that, so that no neighbour is lost and
+    few other pairs are left to compare exactly. Pairs whose product isn't finite are left too.
+    """
+    with np.errstate(all="ignore"):
+        size = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :]
+        slack = 1e-15 * (q.shape[1] + 8) * size
+        about = size - 2 * (q @ b.T)
+        if len(b) > k:
+            worst = np.fmin(worst, np.partition(about + slack, k - 1, axis=1)[:, k - 1])
+        return np.nonzero(~(about - slack > worst[:, None]))
+
+
 class Best:
     """The k best of each of n queries, over any number of blocks of candidates; with each row a number of the caller's, its ``tag``."""
 
@@ -163,7 +178,15 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: Metric = Metric.L2,
             b, own = matrix(batch.column("vec")), batch.column("id").to_numpy(zero_copy_only=False)
             step = max(1, CELLS // max(1, len(ids)))
             for i in range(0, len(b) if len(ids) else 0, step):
-                best.add(distances(metric, q, b[i : i + step], p, integer), own[i : i + step])
+                part = b[i : i + step]
+                if metric != Metric.L2 or integer:
+                    best.add(distances(metric, q, part, p, integer), own[i : i + step])
+                    continue
+                x, y = near_rows(q, part, k, best.worst)
+                pairs = max(1, CELLS // q.shape[1])
+                for j in range(0, len(x), pairs):
+                    at, of = x[j : j + pairs], y[j : j + pairs]
+                    best.add_rows(at, paired(Metric.L2, q[at], part[of]), own[i + of])
         yield best.batch(ids)
 
     rows = base.where("vec IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "vec")
