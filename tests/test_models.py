@@ -130,6 +130,21 @@ def test_products_lose_no_neighbour(shift):
     assert (made.query == exact.query).all() and (made.id == exact.id).all() and (made.dist == exact.dist).all()
 
 
+@pytest.mark.parametrize("text", ["BFlat", "BIVF4", "BHash6x8", "BHNSW8"])
+def test_saved_binary_indexes_find_the_same(spark, tmp_path, text):
+    from vecspark.plans.binary import load_binary
+    from vecspark.plans.factory import binary_index
+
+    base = T.bits(spark, SF).select("id", "words")
+    index = binary_index(T.DIM, text).train(base).add(base)
+    index.nprobe = 3
+    index.save(str(tmp_path))
+    back, queries = load_binary(spark, str(tmp_path)), T.as_queries(base)
+    assert (back.kind, back.size, back.tables, back.nprobe) == (index.kind, index.size, index.tables, 3)
+    found = sorted(map(tuple, back.search(queries, 5).collect()))
+    assert found and found == sorted(map(tuple, index.search(queries, 5).collect()))
+
+
 def test_second_level_codes_what_the_first_leaves():
     x = np.random.default_rng(3).normal(size=(600, 16))
     codec = vector_index(16, "IVF4,PQ4x4+8x5").codec.train(x)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors as V
@@ -149,3 +149,25 @@ class BinaryIndex:
             found = graph_index.search(self._reals(queries), self.rows, k, max(self.ef, k))
             return found.select("query_id", "rank", "id", F.col("dist").cast("bigint").alias("dist"))
         return S.hamming_knn(queries, self.rows, k)
+
+    def save(self, path: str) -> None:
+        """Rows as Parquet, of IVF one folder a list; the rest as one pickled row."""
+        import pickle
+
+        from vecspark.sources.tables import save_by_list
+
+        spark = self.rows.sparkSession
+        if self.kind == "IVF":
+            save_by_list(self.rows, f"{path}/rows")
+        else:
+            self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        model = bytearray(pickle.dumps(replace(self, rows=None)))
+        spark.createDataFrame([(model, self.rows.columns)], "model binary, columns array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load_binary(spark: SparkSession, path: str) -> BinaryIndex:
+    """What ``BinaryIndex.save`` wrote."""
+    import pickle
+
+    row = spark.read.parquet(f"{path}/model").first()
+    return replace(pickle.loads(row["model"]), rows=spark.read.parquet(f"{path}/rows").select(*row["columns"]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vecspark.operators import maintain as M
 from vecspark.queries.searching import _both, _ivf, _whole
-from vecspark.queries.sql import LISTS, PAIRS, sql, top
+from vecspark.queries.sql import LISTS, PAIRS, hamming, sql, top
 from vecspark.registry import query
 from vecspark.sources import tables as T
 
@@ -81,6 +81,21 @@ def saved_index(spark, sf_dir):
     return _whole(load(spark, path).search(queries, 10, nprobe=8)).drop("list_no")
 
 
+@query("saved_binary_index", sql(top(f"SELECT bq.query_id, b.id, {hamming('bq.bits', 'b.bits')} AS dist FROM bq, b", 10)))
+def saved_binary_index(spark, sf_dir):
+    """A binary inverted file, written, read and searched in all its lists."""
+    from vecspark.plans.binary import load_binary
+    from vecspark.plans.factory import binary_index
+    from vecspark.sources.shared import new_path
+
+    base = T.bits(spark, sf_dir).select("id", "words")
+    path = new_path(spark, "binary-index")
+    index = binary_index(T.DIM, "BIVF4").train(base).add(base)
+    index.nprobe = 4
+    index.save(path)
+    return load_binary(spark, path).search(T.as_queries(base), 10)
+
+
 @query("raw_file_round_trip", sql("SELECT id, sum(x)::BIGINT AS total FROM (SELECT id, unnest(vec) AS x FROM v) GROUP BY id"))
 def raw_file_round_trip(spark, sf_dir):
     """Rows as headerless little-endian records and back."""

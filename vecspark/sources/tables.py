@@ -165,8 +165,8 @@ def load_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], d
 
 
 def save_by_list(codes: DataFrame, path: str) -> None:
-    """Codes in one folder a list: a search reads the lists that it probes (partition pruning)."""
-    codes.repartition("list_no").write.mode("overwrite").partitionBy("list_no").parquet(path)
+    """Codes in one folder a list: a search reads the lists that it probes (partition pruning). Adaptive execution splits hot lists over tasks."""
+    codes.hint("rebalance", F.col("list_no")).write.mode("overwrite").partitionBy("list_no").parquet(path)
 
 
 def read_lists(spark: SparkSession, path: str, lists: list[int] | None = None) -> DataFrame:
