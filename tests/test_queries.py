@@ -25,3 +25,17 @@ def test_entry_imports_without_the_optional_subpackage():
 
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def shifted(tmp_path, by: int) -> str:
+    """A folder with the embeddings of SF under ids that begin at ``by``."""
+    import duckdb
+
+    duckdb.sql(f"COPY (SELECT vec_id + {by} AS vec_id, embedding, label FROM '{SF}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet'")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("by", [65_300, 16_777_000])
+def test_places_of_large_ids_match_sql(spark, tmp_path, by):
+    """Numbers of more than two bytes come back whole."""
+    same(spark, QUERIES["packed_places"], SQL["packed_places"], shifted(tmp_path, by))
