@@ -39,3 +39,11 @@ def shifted(tmp_path, by: int) -> str:
 def test_places_of_large_ids_match_sql(spark, tmp_path, by):
     """Numbers of more than two bytes come back whole."""
     same(spark, QUERIES["packed_places"], SQL["packed_places"], shifted(tmp_path, by))
+
+
+def test_updates_leave_unknown_ids_out_at_any_size(spark, tmp_path):
+    """The base has the ids from 100,000 on beside the low ones."""
+    import duckdb
+
+    duckdb.sql(f"COPY (SELECT vec_id + k AS vec_id, embedding, label FROM '{SF}/embeddings.parquet', (VALUES (0), (99800)) t(k)) TO '{tmp_path}/embeddings.parquet'")
+    same(spark, QUERIES["update_vectors"], SQL["update_vectors"], str(tmp_path))
