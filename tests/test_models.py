@@ -269,3 +269,72 @@ def test_layout_covers_every_slice(lists, units):
         slices = max(1, -(-n // 8))
         assert {s for a, b in own for s in range(a, b)} == set(range(slices))
     assert len({(u, no) for u, no, _, _ in plan}) == len(plan)
+
+
+def _batches(name: str, values: np.ndarray, rows: int, **more):
+    """Arrow batches of id, the values' rows under ``name``, and other columns."""
+    import pyarrow as pa
+
+    for i in range(0, len(values), rows):
+        part = values[i : i + rows]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), lists, *[pa.array(c[i : i + rows]) for c in more.values()]], ["id", name, *more])
+
+
+def _peak(run):
+    """What it gives, and the bytes that it holds at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+MODES = ("hamming", "generalized", "symmetric", "polysemous", "polysemous_generalized")
+
+
+@pytest.mark.parametrize("mode", MODES)
+@pytest.mark.parametrize("m,bits", [(4, 4), (16, 5), (8, 3)])
+def test_product_modes_equal_all_pairs(spark, mode, m, bits):
+    """Codes of one word and of two, ties by id, more queries than a tile has."""
+    from vecspark.plans.index import product_modes
+
+    x = np.round(POINTS, 1)
+    base = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "id bigint, vec array<double>")
+    index, ht = VectorIndex(codec=C.Product(m, bits)).train_array(x).add(base), 2 * m if mode == "polysemous" else m // 2 + 1
+    y, codes, codec = x[:300], index.codec.encode(x), index.codec
+    own = codes[:300]
+    n = {True: (own[:, None, :] != codes[None]).sum(2), False: np.bitwise_count(own[:, None, :] ^ codes[None]).astype(int).sum(2)}["generalized" in mode]
+    if mode == "symmetric":
+        d = sum(codec.code_distances()[i][own[:, i, None], codes[None, :, i]] for i in range(m))
+    else:
+        d = n if mode in ("hamming", "generalized") else np.where(n < ht, codec.by_tables(codec.tables(y), codes), np.nan)
+    want = []
+    for q, row in enumerate(d):
+        order = [i for i in np.lexsort((np.arange(len(row)), row)) if not np.isnan(row[i])][:7]
+        want += [(q, r, i, float(row[i])) for r, i in enumerate(order)]
+    found = product_modes(index, base.where("id < 300").withColumnRenamed("id", "query_id"), 7, mode, ht).select("query_id", "rank", "id", "dist")
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def _task(monkeypatch, spark, module, search):
+    """What a search runs on the base's partitions: task(block, batches)."""
+    tasks = []
+    monkeypatch.setattr(module, "blockwise", lambda base, blocks, task, schema: tasks.append(task) or spark.createDataFrame([], schema))
+    search()
+    return tasks[0]
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_product_modes_hold_few_pairs(spark, monkeypatch, mode):
+    """2,000 queries by a batch of 5,000 codes: 10 million pairs of 16 numbers."""
+    from vecspark.plans import index as module
+
+    x = np.random.default_rng(2).normal(size=(5000, 64))
+    index = VectorIndex(codec=C.Product(16, 4)).train_array(x[:1000]).add(T.floats(spark, SF))
+    task = _task(monkeypatch, spark, module, lambda: module.product_modes(index, T.as_queries(T.floats(spark, SF)), 10, mode, 24 if mode == "polysemous" else 14))
+    batches = list(_batches("code", index.codec.encode(x).astype(np.int16), 5000))
+    found, peak = _peak(lambda: list(task((np.arange(2000), x[:2000]), batches)))
+    assert sum(map(len, found)) == 20_000 and peak < 300e6
