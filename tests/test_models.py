@@ -338,3 +338,16 @@ def test_product_modes_hold_few_pairs(spark, monkeypatch, mode):
     batches = list(_batches("code", index.codec.encode(x).astype(np.int16), 5000))
     found, peak = _peak(lambda: list(task((np.arange(2000), x[:2000]), batches)))
     assert sum(map(len, found)) == 20_000 and peak < 300e6
+
+
+@pytest.mark.parametrize("similarity", [False, True])
+def test_best_of_blocks_equals_sorting(similarity):
+    """Ties, infinities and NaN, which some rows have nothing but."""
+    rng = np.random.default_rng(8)
+    d = rng.integers(0, 30, (6, 900)).astype(float)
+    d[0, 5:], d[1], d[2, ::3], d[3, 4:700] = np.nan, np.nan, np.nan, np.inf
+    ids, best = rng.permutation(900), S.Best(6, 7, similarity)
+    for i in range(0, 900, 300):
+        best.add(d[:, i : i + 300], ids[i : i + 300])
+    want = [(q, v, j) for q in range(6) for v, j in sorted(((-1 if similarity else 1) * v, j) for v, j in zip(d[q], ids, strict=True) if v == v)[:7]]
+    assert list(zip(best.query, best.dist, best.id, strict=True)) == want
