@@ -351,3 +351,25 @@ def test_best_of_blocks_equals_sorting(similarity):
         best.add(d[:, i : i + 300], ids[i : i + 300])
     want = [(q, v, j) for q in range(6) for v, j in sorted(((-1 if similarity else 1) * v, j) for v, j in zip(d[q], ids, strict=True) if v == v)[:7]]
     assert list(zip(best.query, best.dist, best.id, strict=True)) == want
+
+
+def test_binary_lists_hold_few_pairs(spark, monkeypatch):
+    """3,000 queries by a batch of 4,000 rows in two lists, of which some queries probe one: 10 million pairs."""
+    from vecspark.plans import binary as module
+
+    rng = np.random.default_rng(6)
+    base, queries = T.bits(spark, SF), T.as_queries(T.bits(spark, SF))
+    centroids = np.array([[0], [2**64 - 1]], np.uint64)
+    words, lists = rng.integers(-(2**63), 2**63 - 1, (4000, 1)), rng.integers(0, 2, 4000).astype(np.int32)
+    task = _task(monkeypatch, spark, module, lambda: module.ivf_search(queries, module.ivf_add(base, centroids), centroids, 10, 2))
+    q, probing = words[:3000].view(np.uint64), {0: np.arange(3000), 1: np.arange(0, 3000, 7)}
+    batches = list(_batches("words", words, 4000, list_no=lists))
+    found, peak = _peak(lambda: list(task((np.arange(3000), q, probing), batches)))
+    assert peak < 300e6
+    got = sorted((r["query_id"], r["dist"], r["id"]) for b in found for r in b.to_pylist())
+    want = []
+    for i in range(3000):
+        own = np.flatnonzero(lists == 0) if i % 7 else np.arange(4000)
+        d = np.bitwise_count(q[i] ^ words[own, 0].view(np.uint64)).astype(int)
+        want += [(i, int(d[j]), int(own[j])) for j in np.lexsort((own, d))[:10]]
+    assert got == want

@@ -52,15 +52,16 @@ def ivf_search(queries: DataFrame, codes: DataFrame, centroids: np.ndarray, k: i
 
     def task(block, batches):
         ids, q, probing = block
-        best = Best(len(ids), k, False)
+        tiles = S.Tiles(len(ids), k, False)
         for batch in batches:
             lists, own_ids, words = batch.column("list_no").to_numpy(), batch.column("id").to_numpy(), words_matrix(batch.column("words"))
             for no in np.unique(lists).tolist():
-                own, rows = probing.get(no, ()), np.flatnonzero(lists == no)
-                if len(own):
-                    d = hamming_matrix(q[own], words[rows])
-                    best.add_rows(np.repeat(own, len(rows)), d.ravel().astype(float), np.tile(own_ids[rows], len(own)))
-        yield best.batch(ids)
+                own, rows = probing.get(no, np.zeros(0, np.int64)), np.flatnonzero(lists == no)
+                for a, b, best, part in tiles.each(len(rows)):
+                    some, near = own[slice(*np.searchsorted(own, (a, b)))], rows[part]
+                    if len(some):
+                        best.add_some(some - a, hamming_matrix(q[some], words[near]).astype(float), own_ids[near])
+        yield from tiles.batches(ids)
 
     found = None
     for block in blocks():  # lists that no query of the block probes aren't read, if the codes are stored by list
