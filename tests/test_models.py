@@ -373,3 +373,17 @@ def test_binary_lists_hold_few_pairs(spark, monkeypatch):
         d = np.bitwise_count(q[i] ^ words[own, 0].view(np.uint64)).astype(int)
         want += [(i, int(d[j]), int(own[j])) for j in np.lexsort((own, d))[:10]]
     assert got == want
+
+
+def test_one_graph_is_linked_by_all_tasks(spark):
+    """From a given start: as over the lists that one task finds, which no task does."""
+    import vecspark.queries  # noqa: F401
+    from vecspark import registry
+
+    found = registry.queries()["graph_from_starts"](spark, SF)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    base = T.floats(spark, SF)
+    edges = graph.with_starts(graph.build(base, "knn", k=24, shards=1), base.where("id = 3").select(F.lit(0).alias("shard"), "id"))
+    want = graph.search(T.as_queries(base), base, edges, 10, ef=64, shards=1)
+    got = sorted(map(tuple, found.select("query_id", "rank", "id", "dist").collect()))
+    assert len(got) == 250 and got == sorted(map(tuple, want.select("query_id", "rank", "id", "dist").collect()))

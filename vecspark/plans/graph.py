@@ -200,22 +200,30 @@ def search(queries: DataFrame, base: DataFrame, edges: DataFrame, k: int, ef: in
     return ranked(out, k if radius is None else 1 << 30)
 
 
+def _links(src: np.ndarray, dst: np.ndarray, n: int):
+    """Place -> places that its edges lead to, in order of the edges: two arrays, whatever the graph's size."""
+    order = np.argsort(src, kind="stable")
+    first, to = np.searchsorted(src[order], np.arange(n + 1)), dst[order]
+    return lambda i: to[first[i] : first[i + 1]].tolist()
+
+
 def best_of_shard(qids, q, ids, x, level, src, dst, k: int, ef: int, radius: float | None) -> Best:
     """The best of a shard for each query: ids and vectors x by place, edges (level, src, dst) between places."""
     best = Best(len(qids), k if radius is None else max(k, len(ids)), False)
     if not len(ids) or not len(level):
         return best
-    layers: dict[int, dict[int, list[int]]] = {}
-    for lv, i, j in zip(level.tolist(), src.tolist(), dst.tolist(), strict=True):
-        layers.setdefault(lv, {}).setdefault(i, []).append(j)
-    start = next(iter(layers.get(-1, {0: []})))
+    layers = {lv: _links(src[level == lv], dst[level == lv], len(ids)) for lv in np.unique(level).tolist()}
+    start = int(src[np.argmax(level == -1)]) if -1 in layers else 0
+    none, parts = lambda i: [], []
     for n in range(len(qids)):
         at = [start]
         for lv in sorted((v for v in layers if v > 0), reverse=True):
-            at = [walk(x, lambda i, lv=lv: layers[lv].get(i, []), q[n], at, 1)[0][1]]
-        found = walk(x, lambda i: layers.get(0, {}).get(i, []), q[n], at, max(ef, k))
-        found = [(d, i) for d, i in found if radius is None or d < radius]
-        best.add_rows(np.full(len(found), n), np.array([d for d, _ in found]), ids[[i for _, i in found]] if found else np.zeros(0, np.int64))
+            at = [walk(x, layers[lv], q[n], at, 1)[0][1]]
+        found = walk(x, layers.get(0, none), q[n], at, max(ef, k))
+        parts.append(np.array([(d, i) for d, i in found if radius is None or d < radius], float).reshape(-1, 2))
+    if parts:  # ranked once, not for each query
+        found = np.concatenate(parts)
+        best.add_rows(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), found[:, 0], ids[found[:, 1].astype(np.int64)])
     return best
 
 
