@@ -29,14 +29,15 @@ def _to_least_smaller(links: DataFrame) -> DataFrame:
     return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("k", "m")).distinct()
 
 
-def components(links: DataFrame, name: str = "links") -> DataFrame:
+def components(links: DataFrame, name: str = "links", rows: int | None = None) -> DataFrame:
     """Rows (node, root) for every node of ``links`` (a, b: bigint, no nulls) but the roots, the least nodes.
 
     Alternates two star operations until the links don't change. Each has one link for each node and neighbour at
     most, so that the table never grows beyond the first one, and a hub is spread: its least neighbour is found by
     partial sums, and the join that brings it back splits a skewed key. Each round is written to the shared folder, and the one before it deleted.
+    rows: the number of links, if known.
     """
-    now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name, rows)
     state = None
     for _ in range(ROUNDS):
         count = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -44,8 +45,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             break
         state = tuple(count)
         large = _towards_least(now).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        middle = stored(large, name)
-        before, now = now, stored(_to_least_smaller(middle), name)
+        middle = stored(large, name, count[0])
+        before, now = now, stored(_to_least_smaller(middle), name, count[0])
         discard(before, middle)
     else:
         raise RuntimeError(f"components: no end after {ROUNDS} rounds")

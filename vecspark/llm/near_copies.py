@@ -95,7 +95,7 @@ def samples(nodes: int) -> list[tuple[int, int]]:
 def _similar(links: DataFrame, docs: DataFrame) -> DataFrame:
     """The links (a, b) of documents whose sets of shingles have similarity SIMILAR at least."""
     own = free("_node", docs)
-    nodes = stored(links.select(F.explode(F.array("a", "b")).alias(own)).distinct(), "nodes")
+    nodes = stored(links.select(F.explode(F.array("a", "b")).alias(own)).distinct(), "nodes", 2 * links.count())
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -123,18 +123,24 @@ def _similar(links: DataFrame, docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and group, the least doc_id of its near copies, of every document with an id; a row for each text of a document."""
-    fps = stored(_fingerprints(docs), "fingerprints")
-    nodes = stored(fps.groupBy("f0", "f1", "size").agg(F.min("doc_id").alias("id")), "classes")
-    keys = [F.xxhash64(F.lit(i), F.col("f0").bitwiseAND(F.lit(a).cast("long")), F.col("f1").bitwiseAND(F.lit(b).cast("long"))) for i, (a, b) in enumerate(samples(nodes.count()))]
+    return _groups(docs, stored(_fingerprints(docs), "fingerprints"))
+
+
+def _groups(docs: DataFrame, fps: DataFrame) -> DataFrame:
+    nodes = stored(fps.groupBy("f0", "f1", "size").agg(F.min("doc_id").alias("id")), "classes", fps.count())
+    count = nodes.count()
+    keys = [F.xxhash64(F.lit(i), F.col("f0").bitwiseAND(F.lit(a).cast("long")), F.col("f1").bitwiseAND(F.lit(b).cast("long"))) for i, (a, b) in enumerate(samples(count))]
     found = cell_links(nodes, keys, RADIUS, ("f0", "f1"), SIMILAR)
-    found = stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "found")
+    found = stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "found", count * len(keys))
     member = fps.alias("f").join(nodes.alias("n"), [F.col(f"f.{c}") == F.col(f"n.{c}") for c in ("f0", "f1", "size")]).select("doc_id", "id")
-    roots = components(stored(_similar(found, docs), "links"), "copies")
+    links = stored(_similar(found, docs), "links", found.count())
+    roots = components(links, "copies", links.count())
     return member.join(roots, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("group"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first of their group, with all their columns; only ids travel, to an anti-join."""
     own = free("_copy", docs)
-    copies = groups(docs).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(stored(copies, "copies"), F.col("doc_id") == F.col(own), "left_anti")
+    fps = stored(_fingerprints(docs), "fingerprints")
+    copies = _groups(docs, fps).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stored(copies, "copies", fps.count()), F.col("doc_id") == F.col(own), "left_anti")
